@@ -18,46 +18,84 @@ import itertools
 import os
 import zlib
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, prepare, text_of, tokenizer_path
+from .common import CHUNK_BYTES, Scratch, arrow_schema, prepare, text_of, tokenizer_path
 
 MODEL, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Pieces that one shard packs.
 SHARD = 4096
 #: Entries of a worker's cache and the longest word in it.
-CACHE, LONGEST = 700_000, 64
+CACHE, LONGEST = 1_000_000, 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: A stop or comma after a letter is a token run of its own, so a blank before it changes no token.
+APART, APARTED = r"([\p{L}\p{N}])([.,][ \n])", r"\1 \2"
+
+
 class Words:
-    """Blank-separated words to their ids as bytes. The tokenizer drops blanks, so no token goes across one."""
+    """Blank-separated words to their ids as bytes. The tokenizer drops blanks, so no token goes across one.
+
+    New words of letters alone are encoded many in one call and told apart by their last tokens.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(tokenizer_path(model)).encode_batch
-        self.known: dict[str, bytes] = {"": b""}
+        tok = Tokenizer.from_file(tokenizer_path(model))
+        self.encode = tok.encode_batch_fast
+        vocabulary = tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode(words, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Of words of letters: encoded together."""
+        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words) or at[-1] != len(ids):
+            return self.each(words)
+        raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words. When the newer half of the cache is full it becomes the older half."""
+        found = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
+        if not new:
+            return found
+        if len(self.known) + len(new) > CACHE // 2:
+            self.older, self.known = self.known, {}
+        learnt = {w: x for w in new if (x := self.older.get(w)) is not None}
+        learnt |= self.learn([w for w in new if w not in learnt] if learnt else new)
+        if max(map(len, learnt)) > LONGEST:
+            self.known.update((w, x) for w, x in learnt.items() if len(w) <= LONGEST)
+        else:
+            self.known.update(learnt)
+        return [learnt[w] if x is None else x for w, x in zip(words, found, strict=True)]
 
-    def learn(self, new: set[str], held: list[list[str]]) -> dict[str, bytes]:
-        """Encodes new words; where the cache is full, what the texts at hand use stays. Long words are not kept."""
-        if len(self.known) + len(new) > CACHE:
-            self.known = {w: self.known[w] for h in held for w in h if w in self.known} | {"": b""}
-        passing, part = {}, list(new)
-        for lo in range(0, len(part), 4096):
-            some = part[lo : lo + 4096]
-            for w, e in zip(some, self.encode(some, add_special_tokens=False), strict=True):
-                (self.known if len(w) <= LONGEST else passing)[w] = array("I", e.ids).tobytes()
-        return ChainMap(self.known, passing) if passing else self.known
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        plain, learnt = [w for w in new if w.isalpha()], {}
+        for lo in range(0, len(plain), 64):
+            some = plain[lo : lo + 64]
+            learnt.update(zip(some, self.joined(some), strict=True))
+        others = [w for w in new if not w.isalpha()]
+        learnt.update(zip(others, self.each(others), strict=True))
+        return learnt
 
 
 _words: dict[str, Words] = {}
@@ -69,16 +107,27 @@ def words_of(model: str) -> Words:
     return _words[model]
 
 
-def token_bytes(texts: list[str], model: str = MODEL) -> Iterator[bytes]:
-    """Each text's ids as little-endian 32-bit integers."""
+def token_bytes(texts: pa.Array, model: str = MODEL) -> Iterator[bytes]:
+    """Each text's ids as little-endian 32-bit integers; of so many texts at once as hold about CHUNK_BYTES."""
     tok = words_of(model)
-    held = [t.replace("\n", " ").split(" ") for t in texts]
-    new: set[str] = set()
-    for h in held:
-        new.update(itertools.filterfalse(tok.known.__contains__, h))
-    known = tok.learn(new, held)
-    for h in held:
-        yield b"".join(map(known.__getitem__, h))
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts.slice(lo, hi - lo)), APART, APARTED)
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()  # a word is looked up once a chunk
+        ids = tok.lookup(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        each = sizes[codes]
+        past = np.cumsum(each)
+        tokens = flat[np.repeat(starts[codes] - (past - each), each) + np.arange(past[-1] if len(past) else 0)]
+        past = np.concatenate([[0], past])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        for i in range(hi - lo):
+            yield tokens[past[i] : past[i + 1]].tobytes()
+        lo = hi
 
 
 class _Pieces:
@@ -88,15 +137,13 @@ class _Pieces:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, wide, end = arrow_schema(PIECES), 4 * self.window, np.array([self.end], "<u4").tobytes()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
-            for lo in range(0, len(texts), 250):
-                for doc, raw in zip(ids[lo : lo + 250], token_bytes(texts[lo : lo + 250], self.model), strict=True):
-                    raw += end
-                    for at in range(0, len(raw), wide):
-                        piece = raw[at : at + wide]
-                        for col, v in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4), strict=True):
-                            col.append(v)
+            for doc, raw in zip(b.column(0).to_pylist(), token_bytes(b.column(1), self.model), strict=True):
+                raw += end
+                for at in range(0, len(raw), wide):
+                    piece = raw[at : at + wide]
+                    for col, v in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4), strict=True):
+                        col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
 
 
