@@ -35,6 +35,8 @@ WEIGHTS, CAP, SEED = (1, 2, 3), 3, "mix"
 #: Rows that one slice of a line may hold, about.
 SLICE = 20_000
 OFFSETS = 16
+#: Rows of the tables by source and class that are broadcast, some MB.
+BROADCAST_ROWS = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -62,7 +64,7 @@ def targets(by_source: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return w.select("source", "source_size", "weight", F.least(F.col("most"), F.col("weight") * F.coalesce(F.col("level"), F.lit(0.0))).alias("target"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, slice_rows: int = SLICE) -> DataFrame:
+def plan(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, slice_rows: int = SLICE) -> DataFrame:
     """From rows with _id, _source and _size: adds source_size, target, copies. Other columns are carried along."""
     rows = docs.withColumn("_bits", F.expr("length(bin(_size))"))
     rows = rows.withColumn("_class", F.expr("cast(_bits * 8 + (shiftright(shiftleft(_size, 3), _bits - 1) & 7) as int)")).drop("_bits")
@@ -77,15 +79,20 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, sli
     first = Window.partitionBy("_none", "_key").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     starts = classes.withColumn("_class_start", F.coalesce(F.sum("_rows").over(first), F.lit(0)))
     starts = starts.withColumn("_slices", F.ceil(F.col("_rows") / slice_rows)).join(wanted, ["_none", "_key"]).drop("_words", "_rows")
-    sliced = rows.join(starts, ["_none", "_key", "_class"]).withColumn("_slice", F.expr("cast(floor(_hash * _slices / 4294967296D) as int)"))
+    sliced = rows.join(_small(scratch.cut(starts, "starts")), ["_none", "_key", "_class"]).withColumn("_slice", F.expr("cast(floor(_hash * _slices / 4294967296D) as int)"))
     ranked = _ranked(sliced)
     taken = ranked.groupBy("_none", "_key").agg(*[F.sum(_copies(F.lit(m)) * F.col("_size")).alias(f"_{m}") for m in range(OFFSETS)], F.first("target").alias("_target"))
     tries = F.array(*[F.struct(F.abs(F.col(f"_{m}") - F.col("_target")).alias("off"), F.lit(m).alias("turn")) for m in range(OFFSETS)])
     turns = taken.select("_none", "_key", F.array_min(tries)["turn"].alias("_turn"))
-    out = ranked.join(turns, ["_none", "_key"])
+    out = ranked.join(_small(scratch.cut(turns, "turns")), ["_none", "_key"])
     return out.withColumn("copies", _copies(F.col("_turn"))).drop("_none", "_key", "_rank", "_rate", "_offset", "_turn")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A row a source or class is broadcast up to a counted size; past it the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _copies(turn) -> Column:
     """Integer boundaries that a row's stretch crosses, after the offset turned so many sixteenths."""
     start = F.pmod(F.col("_offset") + turn * F.lit((1 << 32) // OFFSETS).cast("long"), F.lit(1 << 32)) / F.lit(float(1 << 32))
@@ -113,8 +120,8 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED,
 
     The texts are read once: sizes go to a narrow table in the shared folder and all else reads that.
     """
-    narrow = Scratch(docs.sparkSession, "mixing").cut(_narrow(docs, id_col, source_col, text_col), "sizes")
-    out = plan(narrow, weights, cap, seed)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    out = plan(scratch.cut(_narrow(docs, id_col, source_col, text_col), "sizes"), scratch, weights, cap, seed)
     return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
@@ -123,6 +130,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, id_c
     inner = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     at = {c: f"_c{docs.columns.index(c)}" for c in (id_col, source_col, text_col)}
     rows = inner.select("*", F.col(at[id_col]).cast("long").alias("_id"), F.col(at[source_col]).cast("string").alias("_source"), words_in(text_of(at[text_col])).alias("_size"))
-    out = plan(rows, weights, cap, seed).filter("copies > 0")
+    out = plan(rows, Scratch(docs.sparkSession, "mixing"), weights, cap, seed).filter("copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
