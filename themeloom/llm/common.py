@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import tempfile
@@ -10,7 +12,9 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,10 +111,10 @@ class _Mapper:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = arrow_schema(self.schema)
         for batch in batches:
-            if batch.num_rows:
-                out = self.rows(*[c if pa.types.is_integer(c.type) else c.to_pylist() for c in batch.columns])
-                arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type, from_pandas=False) for c, f in zip(out, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=types)
+            for part in by_bytes(batch):
+                out = self.rows(*[c if pa.types.is_integer(c.type) else c.to_pylist() for c in part.columns])
+                yield pa.RecordBatch.from_arrays([as_arrow(c, f.type) for c, f in zip(out, types, strict=True)], schema=types)
+        release()
 
 
 def annotate(docs: DataFrame, text_col: str, rows: Callable, ddl: str) -> DataFrame:
@@ -135,10 +139,11 @@ class _Annotator:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = arrow_schema(self.ddl)
         for batch in batches:
-            if batch.num_rows:
-                out = self.rows([t or "" for t in batch.column(self.at).to_pylist()])
-                arrays = [pa.array(c, f.type, from_pandas=False) for c, f in zip(out, added, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *added.names])
+            for part in by_bytes(batch):
+                out = self.rows([t or "" for t in part.column(self.at).to_pylist()])
+                arrays = [as_arrow(c, f.type) for c, f in zip(out, added, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *added.names])
+        release()
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
@@ -152,6 +157,39 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(n, _TYPES[t.strip()]) for n, t in fields])
 
 
+def by_bytes(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about limit bytes of strings, one row at least, so long texts don't add up in a worker."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(held), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def as_arrow(column, kind: pa.DataType) -> pa.Array:
+    """A column of results; lists come as numpy arrays and are joined without Python numbers."""
+    if isinstance(column, pa.Array):
+        return column.cast(kind)
+    if pa.types.is_list(kind):
+        sizes = [0 if x is None else len(x) for x in column]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        flat = np.concatenate([x for x in column if x is not None and len(x)] or [np.zeros(0, np.int64)])
+        missing = np.array([x is None for x in column] + [False])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=missing), pa.array(flat, kind.value_type))
+    return pa.array(column, kind, from_pandas=False)
+
+
+def release() -> None:
+    """Gives memory that a finished task leaves in allocators back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def word_chunks(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes, one text at least."""
     start = held = 0

@@ -31,7 +31,7 @@ from .common import arrow_pass, prepare, text_of
 SAMPLE_DOCS, SAMPLE_WORDS, SPAN = 300, 60, 24
 EMBED, HIDDEN, EPOCHS, BATCH, RATE, SEED = 12, 12, 3, 256, 0.02, 7
 #: Words that a worker keeps.
-CACHE = 400_000
+CACHE = 300_000
 
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
 

@@ -39,7 +39,7 @@ EPOCHS, RATE, PENALTY, BIAS = 120, 1.0, 1e-3, -10.0
 LEAST_RATIO = 20.0
 THRESHOLD = 0.5
 #: Words that a worker keeps.
-CACHE = 400_000
+CACHE = 150_000
 
 #: Bytes that end sentences become line ends, other ASCII that is no letter or digit becomes blanks, A-Z are lowered.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".!?\n" else c if chr(c).isalnum() and c < 128 or c > 127 else 32 for c in range(256))
