@@ -33,7 +33,7 @@ MODEL, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Pieces that one shard packs.
 SHARD = 4096
 #: Entries of a worker's cache and the longest word in it.
-CACHE, LONGEST = 1_000_000, 64
+CACHE, LONGEST = 450_000, 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -128,6 +128,8 @@ def token_bytes(texts: pa.Array, model: str = MODEL) -> Iterator[bytes]:
         for i in range(hi - lo):
             yield tokens[past[i] : past[i + 1]].tobytes()
         lo = hi
+        del plain, lists, coded, ids, flat, tokens, codes, each
+        pa.default_memory_pool().release_unused()
 
 
 class _Pieces:
