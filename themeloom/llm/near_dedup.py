@@ -9,12 +9,21 @@ of the K least hashes of their union, and every one of those stands in both sket
 2. Inverted lists: retained hash -> nodes. A node's retained hashes are ordered by how many nodes
    retain them, rarest first. Sketches that share ``LEAST`` hashes share one among the first
    K - LEAST + 1 of that order, so only those are posted; hashes that one node retains are not.
-3. First links: each node is compared with the one list head that it meets most often. Verified
-   links are joined into components, which draws together groups of near copies, however large,
-   with one comparison a node.
+3. First links: a list's head is the node with the fewest hashes of its own, the middle of a group
+   of near copies. Each node is compared with the one head that it meets most often. Verified links
+   are joined into components, which draws together groups of near copies, however large, with one
+   comparison a node. A second round compares the nodes that stay outside the largest component of
+   their longest lists with the ``HEADS`` most central nodes of those.
 4. The rest, exactly: lists whose nodes are in several components give the pairs of components that
-   meet in them (a component counts once a list); the nodes of two such components are compared.
+   meet in them (a component counts once a list); the nodes of two such components are compared,
+   those of a large one in blocks of bounded size from which only links come.
    Nodes in one component are not compared again: a link inside it changes nothing.
+   Lists that would give over ``MANY`` pairs of nodes, as a passage that many texts share makes, are
+   not paired.
+   Their nodes get inverted lists of their full sets instead: of two sets at 0.75, each has a common
+   shingle among its rarest quarter (and one), so only that quarter is posted, and a shared passage
+   is posted only by texts of which it is three quarters. This needs no cap and loses no pair: two
+   nodes that meet in shorter lists too are paired there.
 5. A pair is first held against the union sketch (the K least of both sketches: the share in both
    estimates the similarity; under ``ESTIMATE`` it is let go), then confirmed on full sets.
 
@@ -35,12 +44,19 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_pass, prepare, text_of
 
 WORDS, K, LEAST, ESTIMATE = 5, 64, 27, 0.45
+#: Pairs of nodes of different components up to which a list is paired directly.
+MANY = 1500
+#: Central nodes of a list that its outsiders are compared with first.
+HEADS = 16
+#: Pairs of nodes up to which two components are compared row by row, and shingles of a block beyond that.
+FEW, BLOCK = 64, 200_000
 #: A similarity of 75/100 or more links.
 PART, WHOLE = 75, 100
 #: Node keys (16 bytes each) that are broadcast; more are joined by a shuffle.
@@ -50,7 +66,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _WordHashes(dict):
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -81,7 +97,7 @@ def shingle_set(text: str) -> np.ndarray:
 def _sketches(doc_id, texts):
     sets = [shingle_set(t) for t in texts]
     keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-    return [doc_id, np.array([len(s) for s in sets], np.int64), keys, [s[:K].tolist() for s in sets]]
+    return [doc_id, np.array([len(s) for s in sets], np.int64), keys, [s[:K] for s in sets]]
 
 
 class Finder:
@@ -101,26 +117,32 @@ class Finder:
         self.nodes = cut(self.posted_nodes(posted), "nodes")
         first = self.verified(self.head_pairs(posted), "first")
         labels = self.joined(first)
-        rest = self.verified(self.component_pairs(posted, labels), "rest")
+        second = self.verified(self.central_pairs(posted, labels), "second")
+        if not second.isEmpty():
+            first = first.unionByName(second)
+            labels = self.joined(first)
+        few, large = self.component_pairs(posted, labels)
+        rest = self.verified(few, "rest").unionByName(self.compared(large, labels))
+        rest = cut(rest, "rest-links")
         drop(posted)
         if not rest.isEmpty():
             labels = self.joined(first.unionByName(rest))
         return self.labelled(labels)
 
     def postings(self) -> DataFrame:
-        """value, node, n of what step 2 posts, with the list's head."""
+        """value, node, n of what step 2 posts, and how many hashes the node alone retains."""
         one = self.found.filter("node is not null").groupBy("node").agg(F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "sketch"))["sketch"].alias("sketch"))
         one = self.one = self.scratch.cut(one, "distinct")
         values = one.select("node", "n", F.explode("sketch").alias("value"))
-        lists = values.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("head")).filter("df > 1")
+        lists = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
         shared = values.join(lists, "value")
         # Hashes that one node alone retains are the rarest; they take the first places without being posted.
         size = F.least(F.col("n"), F.lit(K))
-        held = shared.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value", "head"))).alias("held"))
+        held = shared.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
         alone = size - F.size("held")
         least = F.when(F.col("n") > K, F.lit(K - LEAST + 1)).otherwise(size - F.ceil(size * PART / WHOLE) + 1)
         kept = F.slice("held", 1, F.greatest(least - alone, F.lit(0)).cast("int"))
-        return held.select("node", "n", F.explode(kept).alias("p")).select("node", "n", F.col("p.value").alias("value"), F.col("p.head").alias("head"))
+        return held.select("node", "n", alone.alias("alone"), F.explode(kept).alias("p")).select("node", "n", "alone", F.col("p.value").alias("value"))
 
     def posted_nodes(self, posted: DataFrame) -> DataFrame:
         """node, n, sketch of the nodes that are in any list."""
@@ -128,25 +150,94 @@ class Finder:
 
     def head_pairs(self, posted: DataFrame) -> DataFrame:
         """Each node with the head that it meets in most lists."""
-        met = posted.filter("node != head").groupBy("node", "head").agg(F.count("*").alias("lists"))
+        heads = posted.groupBy("value").agg(F.min(F.struct("alone", "node"))["node"].alias("head"))
+        met = posted.join(heads, "value").filter("node != head").groupBy("node", "head").agg(F.count("*").alias("lists"))
         return met.groupBy("node").agg(F.max(F.struct("lists", "head"))["head"].alias("a")).select("a", F.col("node").alias("b"))
 
-    def component_pairs(self, posted: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of nodes of different components that meet in a list."""
+    def central_pairs(self, posted: DataFrame, labels: DataFrame) -> DataFrame:
+        """Nodes outside a list's largest component with that list's most central nodes, for the longest lists of each node."""
         part = F.coalesce("label", "node")
-        marked = posted.join(labels, "node", "left").select("value", part.alias("part"), "n")
-        lists = marked.groupBy("value", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        several = lists.groupBy("value").agg(F.count("*").alias("parts")).filter("parts > 1").select("value")
-        lists = self.scratch.cut(lists.join(several, "value"), "lists")
-        x, y = (lists.select("value", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "lo", "hi")]) for s in "xy")
-        near = (F.col("hi_x") * WHOLE >= F.col("lo_y") * PART) & (F.col("hi_y") * WHOLE >= F.col("lo_x") * PART)
-        meet = x.join(y, "value").filter((F.col("part_x") < F.col("part_y")) & near).select("part_x", "part_y").distinct()
-        meet = self.scratch.cut(meet, "meetings")
+        marked = self.scratch.cut(posted.join(labels, "node", "left").select("value", "node", "alone", part.alias("part")), "marked")
+        parts = marked.groupBy("value", "part").agg(F.count("*").alias("nodes"))
+        lists = parts.groupBy("value").agg(F.sum("nodes").alias("nodes"), F.count("*").alias("parts"), F.max(F.struct("nodes", "part"))["part"].alias("largest")).filter(f"parts > 1 and nodes > {HEADS}")
+        outside = marked.join(lists, "value").filter("part != largest")
+        longest = F.slice(F.sort_array(F.collect_list(F.struct("nodes", "value")), False), 1, 3)
+        chosen = outside.groupBy("node", "part").agg(longest.alias("at")).select("node", "part", F.explode("at").alias("at")).select("node", "part", F.col("at.value").alias("value"))
+        chosen = self.scratch.cut(chosen, "outside")
+        wanted = marked.join(chosen.select("value").distinct(), "value", "left_semi")
+        central = wanted.withColumn("_n", F.row_number().over(Window.partitionBy("value").orderBy("alone", "node"))).filter(F.col("_n") <= HEADS)
+        central = central.select("value", F.col("node").alias("a"), F.col("part").alias("part_a"))
+        return chosen.join(central, "value").filter("part != part_a").select("a", F.col("node").alias("b")).distinct()
+
+    def component_pairs(self, posted: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components that meet in a list: as pairs of nodes a, b where those are few, else as rows big, part."""
+        cut, part = self.scratch.cut, F.coalesce("label", "node")
+        lists, sizes = self.lists(posted, labels, "lists")
+        meet = self.meetings(lists.join(sizes.filter(F.col("pairs") <= MANY).select("value"), "value"))
+        many = sizes.filter(F.col("pairs") > MANY).select("value")
+        if not many.isEmpty():
+            nodes = posted.join(many, "value", "left_semi").select("node").distinct()
+            full = cut(self.full_postings(self.full_sets(nodes, "many")), "full-postings")
+            again, sizes = self.lists(full, labels, "full-lists")
+            meet = meet.unionByName(self.meetings(again.join(sizes.select("value"), "value")))
+        meet = meet.distinct()
         members = self.nodes.join(labels, "node", "left").select(part.alias("part"), "node", "n")
+        sizes = members.groupBy("part").agg(F.count("*").alias("size"))
+        x, y = (sizes.select(F.col("part").alias(f"part_{k}"), F.col("size").alias(f"size_{k}")) for k in "xy")
+        meet = cut(meet.join(x, "part_x").join(y, "part_y"), "meetings")
         a = members.select(F.col("part").alias("part_x"), F.col("node").alias("a"), F.col("n").alias("n_a"))
         b = members.select(F.col("part").alias("part_y"), F.col("node").alias("b"), F.col("n").alias("n_b"))
         sized = (F.col("n_a") * WHOLE >= F.col("n_b") * PART) & (F.col("n_b") * WHOLE >= F.col("n_a") * PART)
-        return meet.join(a, "part_x").join(b, "part_y").filter(sized).select("a", "b")
+        few = meet.filter(F.col("size_x") * F.col("size_y") <= FEW).select("part_x", "part_y").join(a, "part_x").join(b, "part_y").filter(sized).select("a", "b")
+        turned = F.col("size_x") < F.col("size_y")
+        large = meet.filter(F.col("size_x") * F.col("size_y") > FEW)
+        return few, large.select(F.when(turned, F.col("part_y")).otherwise(F.col("part_x")).alias("big"), F.when(turned, F.col("part_x")).otherwise(F.col("part_y")).alias("part"))
+
+    def compared(self, large: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between large components and those that meet them: full sets against full sets, in blocks.
+
+        Blocks hold a bounded number of shingles on either side, whatever the components' sizes, and
+        only links leave them.
+        """
+        if large.isEmpty():
+            return self.spark.createDataFrame([], "a binary, b binary")
+        cut = self.scratch.cut
+        members = cut(self.nodes.join(labels, "node", "left").select(F.coalesce("label", "node").alias("part"), "node", "n"), "members")
+        left = members.join(large.select(F.col("big").alias("part")).distinct(), "part").select(F.col("part").alias("big"), "node", "n")
+        right = large.join(members, "part").select("big", "node", "n").distinct()
+        sets = self.full_sets(left.select("node").unionByName(right.select("node")).distinct(), "large")
+        width = lambda rows, name: rows.groupBy("big").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
+        blocks = cut(width(left, "blocks").join(width(right, "others"), "big"), "blocks")
+        block = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        left = left.join(blocks, "big").select("big", block("blocks").alias("at"), every("others").alias("other"), "node", "n", F.lit(True).alias("inside"))
+        right = right.join(blocks, "big").select("big", every("blocks").alias("at"), block("others").alias("other"), "node", "n", F.lit(False).alias("inside"))
+        rows = left.unionByName(right).join(sets, "node")
+        return rows.groupBy("big", "at", "other").applyInPandas(_block_links, "a binary, b binary")
+
+    def lists(self, posted: DataFrame, labels: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+        """Rows value, part, lo, hi, nodes of posted lists by component, and value, parts, pairs of lists with several."""
+        marked = posted.join(labels, "node", "left").select("value", F.coalesce("label", "node").alias("part"), "n")
+        lists = self.scratch.cut(marked.groupBy("value", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("nodes")), tag)
+        across = ((F.sum("nodes") * F.sum("nodes") - F.sum(F.col("nodes") * F.col("nodes"))) / 2).alias("pairs")
+        return lists, self.scratch.cut(lists.groupBy("value").agg(F.count("*").alias("parts"), across).filter("parts > 1"), f"{tag}-sizes")
+
+    @staticmethod
+    def meetings(lists: DataFrame) -> DataFrame:
+        """Pairs of components of one list whose sizes allow the similarity."""
+        x, y = (lists.select("value", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "lo", "hi")]) for s in "xy")
+        near = (F.col("hi_x") * WHOLE >= F.col("lo_y") * PART) & (F.col("hi_y") * WHOLE >= F.col("lo_x") * PART)
+        return x.join(y, "value").filter((F.col("part_x") < F.col("part_y")) & near).select("part_x", "part_y")
+
+    @staticmethod
+    def full_postings(sets: DataFrame) -> DataFrame:
+        """value, node, n of each full set's rarest quarter, by how many of these sets have a shingle."""
+        values = sets.select("node", F.size("full").alias("n"), F.explode("full").alias("value"))
+        common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+        held = values.join(common, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+        alone = F.col("n") - F.size("held")
+        kept = F.slice("held", 1, F.greatest(F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1 - alone, F.lit(0)).cast("int"))
+        return held.select("node", "n", F.explode(kept).alias("p")).select("node", "n", F.col("p.value").alias("value"))
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs a, b that reach the similarity: union sketch first, full sets then."""
@@ -212,11 +303,33 @@ class Finder:
         return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").isNull().alias("alone"))
 
 
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs at the similarity between the rows inside a large component and the others of the block."""
+    own, others = rows[rows["inside"]], rows[~rows["inside"]]
+    a, b = [], []
+    if len(own) and len(others):
+        sizes = own["n"].to_numpy(np.int64)
+        values = np.concatenate([np.asarray(x, np.int64) for x in own["full"]])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(own)), [len(x) for x in own["full"]])[order]
+        names = own["node"].tolist()
+        for node, n, full in zip(others["node"], others["n"], others["full"], strict=True):
+            full = np.asarray(full, np.int64)
+            lo, hi = np.searchsorted(values, full, "left"), np.searchsorted(values, full, "right")
+            each = hi - lo
+            at = np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            same = np.bincount(owner[at], minlength=len(own))
+            for i in np.flatnonzero(same * WHOLE >= (sizes + n - same) * PART):
+                a.append(names[i])
+                b.append(node)
+    return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+
+
 def _keyed_sets(keys, texts):
     """A repeated doc_id may bring another text; only the one that makes the key counts."""
     sets = [shingle_set(t) for t in texts]
     same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys)]
-    return [keys, [s.tolist() if ok else None for s, ok in zip(sets, same)]]
+    return [keys, [s if ok else None for s, ok in zip(sets, same)]]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
