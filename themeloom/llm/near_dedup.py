@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns: the one of the smallest id, and of rows that repeat an id and a set one."""
+    """One document of each group, with all its columns: the one of the smallest id. Rows that repeat that id all stay."""
     found = Finder(docs, id_col, text_col).components()
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(docs.sparkSession, "neardup-gone").cut(gone, "gone")
