@@ -138,10 +138,13 @@ TABLE: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(TABLE)
+    from .more import TABLE as MORE
+
+    return TABLE | MORE
 
 
 def oracle_sql() -> dict[str, str]:
     from .oracle import SQL
+    from .oracle_more import SQL as MORE
 
-    return dict(SQL)
+    return SQL | MORE
