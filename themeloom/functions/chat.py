@@ -140,7 +140,7 @@ def scoring_form(text: Column) -> Column:
 
 def final_line(text: Column) -> Column:
     """The last line with anything in it, without markup and a leading label; empty if there is none."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     last = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit(""))
     return F.regexp_replace(F.trim(F.regexp_replace(last, r"[*_`#]+", "")), r"(?i)^(?:(?:the|my) )?(?:final )?answer(?: is)?\s*[:\-]?\s*", "")
 
