@@ -15,7 +15,7 @@ of the K least hashes of their union, and every one of those stands in both sket
    comparison a node. A second round compares the nodes that stay outside the largest component of
    their longest lists with the ``HEADS`` most central nodes of those.
 4. The rest, exactly: lists whose nodes are in several components give the pairs of components that
-   meet in them (a component counts once a list); the nodes of two such components are compared,
+   meet in them (a component counts once a list, lists of the same components count once); the nodes of two such components are compared,
    those of a large one in blocks of bounded size from which only links come.
    Nodes in one component are not compared again: a link inside it changes nothing.
    Lists that would give over ``MANY`` pairs of nodes, as a passage that many texts share makes, are
@@ -173,13 +173,13 @@ class Finder:
         """Components that meet in a list: as pairs of nodes a, b where those are few, else as rows big, part."""
         cut, part = self.scratch.cut, F.coalesce("label", "node")
         lists, sizes = self.lists(posted, labels, "lists")
-        meet = self.meetings(lists.join(sizes.filter(F.col("pairs") <= MANY).select("value"), "value"))
+        meet = self.meetings(lists, sizes.filter(F.col("pairs") <= MANY))
         many = sizes.filter(F.col("pairs") > MANY).select("value")
         if not many.isEmpty():
             nodes = posted.join(many, "value", "left_semi").select("node").distinct()
             full = cut(self.full_postings(self.full_sets(nodes, "many")), "full-postings")
             again, sizes = self.lists(full, labels, "full-lists")
-            meet = meet.unionByName(self.meetings(again.join(sizes.select("value"), "value")))
+            meet = meet.unionByName(self.meetings(again, sizes))
         meet = meet.distinct()
         members = self.nodes.join(labels, "node", "left").select(part.alias("part"), "node", "n")
         sizes = members.groupBy("part").agg(F.count("*").alias("size"))
@@ -216,18 +216,26 @@ class Finder:
         return rows.groupBy("big", "at", "other").applyInPandas(_block_links, "a binary, b binary")
 
     def lists(self, posted: DataFrame, labels: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        """Rows value, part, lo, hi, nodes of posted lists by component, and value, parts, pairs of lists with several."""
+        """Rows value, part, lo, hi, nodes of posted lists by component, and value, parts, pairs, k1, k2 of lists with several.
+
+        k1 and k2 are 128 bits of the set of components in the list.
+        """
         marked = posted.join(labels, "node", "left").select("value", F.coalesce("label", "node").alias("part"), "n")
         lists = self.scratch.cut(marked.groupBy("value", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("nodes")), tag)
         across = ((F.sum("nodes") * F.sum("nodes") - F.sum(F.col("nodes") * F.col("nodes"))) / 2).alias("pairs")
-        return lists, self.scratch.cut(lists.groupBy("value").agg(F.count("*").alias("parts"), across).filter("parts > 1"), f"{tag}-sizes")
+        return lists, self.scratch.cut(lists.groupBy("value").agg(F.count("*").alias("parts"), across, F.bit_xor(F.xxhash64("part")).alias("k1"), F.bit_xor(F.xxhash64(F.lit(1), "part")).alias("k2")).filter("parts > 1"), f"{tag}-sizes")
 
     @staticmethod
-    def meetings(lists: DataFrame) -> DataFrame:
-        """Pairs of components of one list whose sizes allow the similarity."""
-        x, y = (lists.select("value", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "lo", "hi")]) for s in "xy")
+    def meetings(lists: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Pairs of components of one list whose sizes allow the similarity.
+
+        Lists of the same components, as the shingles of one passage give, are paired once, with the
+        widest sizes of any of them, so no pair is lost.
+        """
+        lists = lists.join(sizes.select("value", "k1", "k2"), "value").groupBy("k1", "k2", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        x, y = (lists.select("k1", "k2", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "lo", "hi")]) for s in "xy")
         near = (F.col("hi_x") * WHOLE >= F.col("lo_y") * PART) & (F.col("hi_y") * WHOLE >= F.col("lo_x") * PART)
-        return x.join(y, "value").filter((F.col("part_x") < F.col("part_y")) & near).select("part_x", "part_y")
+        return x.join(y, ["k1", "k2"]).filter((F.col("part_x") < F.col("part_y")) & near).select("part_x", "part_y")
 
     @staticmethod
     def full_postings(sets: DataFrame) -> DataFrame:
