@@ -90,6 +90,18 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert got == components(texts)
 
 
+def test_sets_within_a_sketch_meet_larger_ones(spark):
+    """Copies of 60 to 64 shingles inside texts of up to 85: over K, a sketch holds only part of the larger one."""
+    rng = random.Random(11)
+    texts = {}
+    for k, (small, large) in enumerate([(64, 85), (63, 84), (64, 84), (62, 82), (60, 80), (49, 65)] * 25):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(large + 4)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(w), " ".join(w[: small + 4])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d).collect()}
+    assert got == {k: k - k % 2 for k in texts}
+
+
 def test_quality_measures(docs):
     texts = [r.text for r in docs.collect()] + ["a b c d e a b c d e", "x " * 30, "l\nl\nl\n \n", ""]
     got = quality_rules.measure(texts)

@@ -9,6 +9,8 @@ of the K least hashes of their union, and every one of those stands in both sket
 2. Inverted lists: retained hash -> nodes. A node's retained hashes are ordered by how many nodes
    retain them, rarest first. Sketches that share ``LEAST`` hashes share one among the first
    K - LEAST + 1 of that order, so only those are posted; hashes that one node retains are not.
+   A set of n <= K shingles shares three quarters of them with another such set, and
+   K - m/4 with the sketch of a larger set of m <= n/0.75; it posts by the lesser of the two.
 3. First links: a list's head is the node with the fewest hashes of its own, the middle of a group
    of near copies. Each node is compared with the one head that it meets most often. Verified links
    are joined into components, which draws together groups of near copies, however large, with one
@@ -140,7 +142,10 @@ class Finder:
         size = F.least(F.col("n"), F.lit(K))
         held = shared.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
         alone = size - F.size("held")
-        least = F.when(F.col("n") > K, F.lit(K - LEAST + 1)).otherwise(size - F.ceil(size * PART / WHOLE) + 1)
+        # Of a set of more than K shingles only K are in its sketch, so a smaller set can miss some of what they share.
+        most = F.floor(size * WHOLE / PART)
+        common = F.least(F.ceil(size * PART / WHOLE), K - F.floor(most * (WHOLE - PART) / WHOLE))
+        least = F.when(F.col("n") > K, F.lit(K - LEAST + 1)).otherwise(size - common + 1)
         kept = F.slice("held", 1, F.greatest(least - alone, F.lit(0)).cast("int"))
         return held.select("node", "n", alone.alias("alone"), F.explode(kept).alias("p")).select("node", "n", "alone", F.col("p.value").alias("value"))
 
