@@ -102,6 +102,15 @@ def test_sets_within_a_sketch_meet_larger_ones(spark):
     assert got == {k: k - k % 2 for k in texts}
 
 
+def test_pipeline_links_copies_that_differ_by_case(spark, data):
+    import corpus_pipeline
+
+    text = "The quick Brown fox jumps over THE lazy dog and runs Away from Étienne"
+    d = spark.createDataFrame([(1, text), (2, text.upper()), (3, text.replace("The", "the")), (4, text.replace("É", "é").replace("fox", "cat")), (5, "another text of six words here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, d, data).collect()) == [1, 4, 5]
+    assert np.array_equal(near_dedup.shingle_set(text, True), near_dedup.shingle_set(text.replace("T", "t"), True))
+
+
 def test_quality_measures(docs):
     texts = [r.text for r in docs.collect()] + ["a b c d e a b c d e", "x " * 30, "l\nl\nl\n \n", ""]
     got = quality_rules.measure(texts)

@@ -36,6 +36,8 @@ How sure it is: a pair at 0.75 misses step 2 or 5 only if its union sketch of 64
 64 in common where 48 are expected (under one in 10^8); a set of at most K shingles is its own
 sketch, so it is compared exactly.
 
+With ``fold_case``, A-Z are read as a-z before all this; op2's SQL compares texts as they are.
+
 Defined cases: a null text or one without a word has no shingle and is linked with nothing; with
 fewer than five words the whole sequence is the one shingle; a null doc_id is no smallest id unless
 a component has no other; repeated rows fall into one node; an empty table gives an empty result.
@@ -44,6 +46,7 @@ a component has no other; repeated rows fall into one node; an empty table gives
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -82,9 +85,9 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def shingle_set(text: str) -> np.ndarray:
+def shingle_set(text: str, fold_case: bool = False) -> np.ndarray:
     """Sorted distinct hashes, as signed 64-bit numbers."""
-    words = text.encode().split()
+    words = (text.encode().lower() if fold_case else text.encode()).split()
     if not words:
         return np.zeros(0, np.int64)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -96,8 +99,8 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique((key ^ (key >> np.uint64(32))).view(np.int64))
 
 
-def _sketches(doc_id, texts):
-    sets = [shingle_set(t) for t in texts]
+def _sketches(doc_id, texts, fold_case=False):
+    sets = [shingle_set(t, fold_case) for t in texts]
     keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
     return [doc_id, np.array([len(s) for s in sets], np.int64), keys, [s[:K] for s in sets]]
 
@@ -105,8 +108,8 @@ def _sketches(doc_id, texts):
 class Finder:
     """The steps above over one table; scratch tables live in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, fold_case: bool = False):
+        self.spark, self.fold_case = docs.sparkSession, fold_case
         prepare(self.spark)
         self.scratch = Scratch(self.spark, "neardup")
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -114,7 +117,7 @@ class Finder:
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id; one row for each row of docs."""
         cut, drop = self.scratch.cut, self.scratch.drop
-        self.found = cut(arrow_pass(self.docs, ["doc_id", "text"], _sketches, "doc_id long, n_shingles long, node binary, sketch array<long>"), "sketches")
+        self.found = cut(arrow_pass(self.docs, ["doc_id", "text"], partial(_sketches, fold_case=self.fold_case), "doc_id long, n_shingles long, node binary, sketch array<long>"), "sketches")
         posted = cut(self.postings(), "postings")
         self.nodes = cut(self.posted_nodes(posted), "nodes")
         first = self.verified(self.head_pairs(posted), "first")
@@ -283,7 +286,7 @@ class Finder:
         one = self.found.join(small(keys), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         one = self.scratch.cut(one, f"{tag}-ids")
         texts = self.docs.join(small(one), self.docs["doc_id"].eqNullSafe(one["doc_id"])).select("node", "text")
-        sets = arrow_pass(texts, ["node", "text"], _keyed_sets, "node binary, full array<long>").filter("full is not null")
+        sets = arrow_pass(texts, ["node", "text"], partial(_keyed_sets, fold_case=self.fold_case), "node binary, full array<long>").filter("full is not null")
         return self.scratch.cut(sets.dropDuplicates(["node"]), f"{tag}-sets")
 
     def joined(self, links: DataFrame) -> DataFrame:
@@ -338,22 +341,22 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
 
-def _keyed_sets(keys, texts):
+def _keyed_sets(keys, texts, fold_case=False):
     """A repeated doc_id may bring another text; only the one that makes the key counts."""
-    sets = [shingle_set(t) for t in texts]
+    sets = [shingle_set(t, fold_case) for t in texts]
     same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys)]
     return [keys, [s if ok else None for s, ok in zip(sets, same)]]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs."""
-    out = Finder(docs, id_col, text_col).components()
+    out = Finder(docs, id_col, text_col, fold_case).components()
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = False) -> DataFrame:
     """One document of each group, with all its columns: the one of the smallest id. Rows that repeat that id all stay."""
-    found = Finder(docs, id_col, text_col).components()
+    found = Finder(docs, id_col, text_col, fold_case).components()
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(docs.sparkSession, "neardup-gone").cut(gone, "gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
