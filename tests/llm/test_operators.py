@@ -213,6 +213,14 @@ def test_quotes_are_linked(spark):
     assert chat_format.chat_turns(m.limit(0)).count() == 0
 
 
+def test_quotes_below_the_first_level_are_linked(spark):
+    rows = [(1, 0, "user", "Original words."), (1, 1, "assistant", "An answer.\nMore"), (1, 2, "user", "> X wrote:\n>> Original words.\nYes"), (1, 3, "user", "> An answer.\n>> Original words.\n>>> Yes\nNo"), (1, 4, "user", "> edited\n>> Yes\n>>> An answer.\n>>> More\nOh")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in chat_format.chat_turns(m).collect()}
+    assert [got[t].reply_to for t in range(5)] == [None, None, 0, 1, 2]
+    assert [got[t].n_linked for t in range(5)] == [0, 0, 1, 3, 4] and [got[t].root_turn for t in range(5)] == [0, 1, 0, 1, 0]
+
+
 def test_token_counts_are_the_librarys(spark, docs):
     import sentencepiece
 

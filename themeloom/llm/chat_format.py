@@ -4,8 +4,8 @@ A line's quote level is the number of ``>`` that open it. Lines of a message at
 runs of lines at one level are quoted passages. A passage is normalised (markers off, blanks
 squeezed, lower case) and hashed, as a whole and line by line, and joined on (conversation, hash)
 to the first message of the conversation that has that line, or that whole, as its own. The
-message that most passages of the lowest quoted level come from, the latest of equals, is the one
-replied to; it must be an earlier turn. Replies are followed up to the message that starts the
+message that most passages of the lowest quoted level with a match come from, the latest of equals,
+is the one replied to; it must be an earlier turn. A passage quoted at several levels counts at the lowest. Replies are followed up to the message that starts the
 thread by pointer doubling, and conversations are ordered by thread start, then turn, so a message
 stands after what it replies to, with its own lines only.
 
@@ -65,15 +65,14 @@ def originals(d: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def link(d: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, n_linked of the messages whose quotes are found."""
-    least = F.array_min(F.transform("quoted", lambda x: x["level"]))
-    q = d.filter(F.size("quoted") > 0).withColumn("least", least)
-    lines = F.transform(F.filter("quoted", lambda x: x["level"] == F.col("least")), lambda x: F.md5(x["text"]))
-    runs = F.transform(F.filter("passages", lambda x: x["level"] == F.col("least")), lambda x: F.md5(x["passage"]))
-    wanted = q.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(lines, runs))).alias("hash")).distinct()
+    lines = F.transform("quoted", lambda x: F.struct(F.md5(x["text"]).alias("hash"), x["level"].alias("level")))
+    runs = F.transform("passages", lambda x: F.struct(F.md5(x["passage"]).alias("hash"), x["level"].alias("level")))
+    q = d.filter(F.size("quoted") > 0).select("conv_id", "turn", F.explode(F.array_distinct(F.concat(lines, runs))).alias("quote"))
+    wanted = q.groupBy("conv_id", "turn", F.col("quote.hash").alias("hash")).agg(F.min("quote.level").alias("level"))
     first = originals(d, wanted).withColumnRenamed("conv_id", "_conv").withColumnRenamed("hash", "_hash")
     found = wanted.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("hash") == F.col("_hash")) & (F.col("first_turn") < F.col("turn")))
-    votes = found.groupBy("conv_id", "turn", "first_turn").agg(F.count("*").alias("n"))
-    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "first_turn"))["first_turn"].alias("reply_to"), F.sum("n").alias("n_linked"))
+    votes = found.groupBy("conv_id", "turn", "level", "first_turn").agg(F.count("*").alias("n"))
+    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "first_turn"))["first_turn"].alias("reply_to"), F.sum("n").alias("n_linked"))
 
 
 def threads(links: DataFrame, scratch: Scratch) -> DataFrame:
