@@ -13,6 +13,7 @@ from themeloom.llm import chat_format, fingerprints, language_id, license_scan,
 from themeloom.llm.common import table, tokenizer_path
 
 ODD = ["a <|endoftext|> b", "<s> x </s>", "Éá x́ ́y", "ﬁ x\x1cy z\x85w", "İstanbul ΣΑΣ", "don't it's 12345 a1.b2, x9.", "", "   ", "\n\n a", "a\tb\r\n", "한글 각", "x" * 500 + ".,", "▁a▁ b"]
+ODD += ["x <|ENDOFTEXT|> y<|EndOfText|>, Z <|StartOfText|>", "A<|endoftext|>B, C", "İ, x İ. y", "क़, x ढ़. य़,\nz", "ড়, ਲ਼. ଡ଼, གྷ, שׁ, x", "J̌ H̱, T̈. W̊ Y̊", "ΑΒ, Éa. Ⅻ, x"]
 
 
 @pytest.fixture(scope="module")

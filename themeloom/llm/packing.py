@@ -38,8 +38,10 @@ CACHE, LONGEST = 450_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-#: A stop or comma after a letter is a token run of its own, so a blank before it changes no token.
-APART, APARTED = r"([\p{L}\p{N}])([.,][ \n])", r"\1 \2"
+#: Letters that the normaliser turns into a letter and marks, which are one run with a stop or comma after them.
+MARKED = r"\x{0130}\x{0958}-\x{095F}\x{09DC}\x{09DD}\x{09DF}\x{0A33}\x{0A36}\x{0A59}-\x{0A5B}\x{0A5E}\x{0B5C}\x{0B5D}\x{0F43}\x{0F4D}\x{0F52}\x{0F57}\x{0F5C}\x{0F69}\x{FB1D}\x{FB1F}\x{FB2A}-\x{FB36}\x{FB38}-\x{FB3C}\x{FB3E}\x{FB40}\x{FB41}\x{FB43}\x{FB44}\x{FB46}-\x{FB4E}"
+#: A stop or comma after another letter is a token run of its own, so a blank before it changes no token.
+APART, APARTED = rf"([^\P{{L}}{MARKED}]|\p{{N}})([.,][ \n])", r"\1 \2"
 
 
 class Words:
@@ -107,6 +109,11 @@ def words_of(model: str) -> Words:
     return _words[model]
 
 
+def lowered(word: str) -> str:
+    """In lower case where that changes no id: not before a mark, nor where an added token may stand, which is found as it is written."""
+    return word.lower() if word.isascii() and "<|" not in word else word
+
+
 def token_bytes(texts: pa.Array, model: str = MODEL) -> Iterator[bytes]:
     """Each text's ids as little-endian 32-bit integers; of so many texts at once as hold about CHUNK_BYTES."""
     tok = words_of(model)
@@ -114,10 +121,13 @@ def token_bytes(texts: pa.Array, model: str = MODEL) -> Iterator[bytes]:
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
-        plain = pc.replace_substring_regex(pc.ascii_lower(texts.slice(lo, hi - lo)), APART, APARTED)
+        plain = pc.replace_substring_regex(texts.slice(lo, hi - lo), APART, APARTED)
         lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()  # a word is looked up once a chunk
-        ids = tok.lookup(coded.dictionary.to_pylist())
+        words = [lowered(w) for w in coded.dictionary.to_pylist()]
+        distinct = list(dict.fromkeys(words))
+        found = dict(zip(distinct, tok.lookup(distinct), strict=True))
+        ids = [found[w] for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
@@ -128,7 +138,7 @@ def token_bytes(texts: pa.Array, model: str = MODEL) -> Iterator[bytes]:
         for i in range(hi - lo):
             yield tokens[past[i] : past[i + 1]].tobytes()
         lo = hi
-        del plain, lists, coded, ids, flat, tokens, codes, each
+        del plain, lists, coded, words, distinct, found, ids, flat, tokens, codes, each
         pa.default_memory_pool().release_unused()
 
 
