@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.functions import chat, when
-from themeloom.operators import code, fewshot, legacy_select, metrics, pages, vectors
+from themeloom.operators import code, fewshot, legacy_select, metrics, pages, scoring, vectors
 from themeloom.plans import rules
 from themeloom.sources import files
 from themeloom.streaming import session
@@ -209,3 +209,12 @@ def test_files(spark, tmp_path):
     assert [r.text for r in files.documents(spark, str(tmp_path / "x.md")).collect()] == ["whole\ntext"]
     files.write_results(spark.range(2), spark.range(1), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2 and spark.read.json(str(tmp_path / "out_metadata")).count() == 1
+
+
+def test_comparison_has_every_target(spark):
+    rows = [("a", "de", 3), ("a", "it", 9), ("b", None, 5), ("b", "en", 5), ("c", "pt-BR", 1), ("d", "de", None)]
+    d = spark.createDataFrame(rows, "dataset string, target string, score int")
+    wide = scoring.comparison(d)
+    assert sorted(wide.columns) == sorted(["dataset", "de", "en", "it", "null", "pt-BR", "best"])
+    assert {r.dataset: r.best for r in wide.collect()} == {"a": "it", "b": "en", "c": "pt-BR", "d": None}
+    assert scoring.comparison(d.limit(0)).count() == 0

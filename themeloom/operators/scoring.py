@@ -37,11 +37,20 @@ def category_fold(tasks: DataFrame) -> DataFrame:
     return by.unionByName(tasks.agg(F.lit("all").alias("category"), F.round(F.avg("score"), 6).alias("score")))
 
 
-def comparison(scores: DataFrame, targets: list[str]) -> DataFrame:
-    """dataset by target, with the best target (the first of equals)."""
+#: Targets that a table can have as columns.
+TARGETS = 1000
+
+
+def comparison(scores: DataFrame) -> DataFrame:
+    """dataset by target, with the best target (the first of equals); null targets are 'null'."""
+    scores = scores.withColumn("target", F.coalesce("target", F.lit("null")))
+    targets = sorted(r["target"] for r in scores.select("target").distinct().limit(TARGETS + 1).collect())
+    if len(targets) > TARGETS:
+        raise ValueError(f"over {TARGETS} targets")
     wide = scores.groupBy("dataset").pivot("target", targets).agg(F.round(F.max("score"), 6))
-    best = F.greatest(*[F.col(t) for t in targets])
-    named = F.coalesce(*[F.when(F.col(t) == best, F.lit(t)) for t in targets])
+    score = {t: F.col("`" + t.replace("`", "``") + "`") for t in targets}
+    best = F.array_max(F.array(*score.values()))
+    named = F.coalesce(*[F.when(c == best, F.lit(t)) for t, c in score.items()], F.lit(None).cast("string"))
     return wide.withColumn("best", named)
 
 

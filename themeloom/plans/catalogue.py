@@ -130,7 +130,7 @@ TABLE: dict[str, Query] = {
     "verdict": lambda s, d: scoring.verdicts(_pairs(s, d)),
     "score_summary": lambda s, d: scoring.score_summary(_docs(s, d).join(read(s, d, "labels"), "doc_id").select(F.col("lang").alias("category"), F.col("quality").alias("correct"))),
     "category_fold": lambda s, d: scoring.category_fold(_docs(s, d).groupBy("source", F.col("lang").alias("category")).agg(F.avg("n_chars").alias("score"))),
-    "comparison_pivot": lambda s, d: scoring.comparison(_docs(s, d).select(F.col("source").alias("dataset"), F.col("lang").alias("target"), F.col("n_chars").alias("score")), ["de", "en", "es", "fr"]),
+    "comparison_pivot": lambda s, d: scoring.comparison(_docs(s, d).select(F.col("source").alias("dataset"), F.col("lang").alias("target"), F.col("n_chars").alias("score"))),
     "nearest_rank_p95": lambda s, d: scoring.nearest_rank(read(s, d, "events"), "event_type", "value"),
     "worker_rollup": worker_rollup,
     "ask_signals": ask_signals,
