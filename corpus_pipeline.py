@@ -40,7 +40,8 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: Trained scores and tokenizers are beyond SQL; tests hold the stages against brute-force versions.
+#: Trained scores and tokenizers are beyond SQL. Tests hold the operators, not these stages, against plain versions;
+#: of the stages they check the columns and near-dedup's survivors in one small table, and they do not execute run().
 ORACLE_SQL = None
 
 
