@@ -57,7 +57,7 @@ def test_licenses(spark):
 
 
 def components(texts):
-    sets = {k: frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if (w := (t or "").encode().split()) else frozenset() for k, t in texts.items()}
+    sets = {k: frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if (w := (t or "").encode().lower().split()) else frozenset() for k, t in texts.items()}
     up = {k: k for k in sets}
 
     def find(a):
@@ -91,6 +91,30 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert got == components(texts)
 
 
+def test_large_groups_equal_brute_force(spark, monkeypatch):
+    """Copies with no middle, copies just under and over the similarity, cut copies, and a passage that is most of many texts."""
+    rng = random.Random(8)
+    texts, base = {}, [f"w{i}" for i in range(60)]
+    for k in range(500):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(60)] = f"e{rng.randrange(12)}" if k % 2 else f"e{rng.randrange(10**6)}"
+        texts[k] = " ".join(w)
+        lo = rng.randrange(20)
+        texts[1000 + k] = " ".join(f"v{i}" for i in range(lo, rng.randrange(lo + 40, 90)))
+        texts[2000 + k] = " ".join([f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 20))] + [f"p{i}" for i in range(60)])
+        w = [f"l{i}" for i in range(300)]
+        for _ in range(rng.randrange(3, 9)):
+            w[rng.randrange(300)] = f"x{rng.randrange(40)}"
+        texts[3000 + k] = " ".join(w)
+    want = components(texts)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for many, block in ((1500, 200_000), (3, 2_000)):
+        monkeypatch.setattr(near_dedup, "MANY", many)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(d).collect()} == want
+
+
 def test_sets_within_a_sketch_meet_larger_ones(spark):
     """Copies of 60 to 64 shingles inside texts of up to 85: over K, a sketch holds only part of the larger one."""
     rng = random.Random(11)
@@ -109,7 +133,9 @@ def test_pipeline_links_copies_that_differ_by_case(spark, data):
     text = "The quick Brown fox jumps over THE lazy dog and runs Away from Étienne"
     d = spark.createDataFrame([(1, text), (2, text.upper()), (3, text.replace("The", "the")), (4, text.replace("É", "é").replace("fox", "cat")), (5, "another text of six words here")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, d, data).collect()) == [1, 4, 5]
-    assert np.array_equal(near_dedup.shingle_set(text, True), near_dedup.shingle_set(text.replace("T", "t"), True))
+    assert np.array_equal(near_dedup.shingle_set(text), near_dedup.shingle_set(text.replace("T", "t")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(d).collect()}
+    assert got == components({r.doc_id: r.text for r in d.collect()}) and got[2] == (got[1][0], 1)
 
 
 def test_quality_measures(docs):

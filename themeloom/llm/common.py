@@ -49,11 +49,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share; a local one only where none is set and all run on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = _own_dir()
-    return found
+    if not found and not is_local(spark.sparkContext):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or _own_dir()
 
 
 _own: list[str] = []
@@ -70,7 +70,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/themeloom-{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, []
 
     def cut(self, df: DataFrame, tag: str) -> DataFrame:
         """Write df and read it again."""
@@ -79,15 +79,24 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again."""
-        for t in tables:
-            if path := getattr(t, "_scratch_path", None):
-                jvm = self.spark.sparkContext._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self._delete([p for t in tables if (p := getattr(t, "_scratch_path", None))])
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but these."""
+        stay = {getattr(t, "_scratch_path", None) for t in kept}
+        self._delete([p for p in self.paths if p not in stay])
+
+    def _delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = [p for p in self.paths if p not in set(paths)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,6 +199,28 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+class WorkerCache:
+    """What a Python worker keeps between tasks: of all such caches only the one last used holds anything.
+
+    A reused worker runs the tasks of one stage after another; the cache of a stage that is over is
+    dropped as soon as the next one asks for its own, so caches do not add up.
+    """
+
+    _holder: WorkerCache | None = None
+
+    def __init__(self, make: Callable):
+        self.make, self.key, self.held = make, None, None
+
+    def get(self, *key):
+        """The cache, made by make(*key) where it is not held for this key."""
+        if WorkerCache._holder is not self or self.key != key:
+            if WorkerCache._holder is not None:
+                WorkerCache._holder.held = WorkerCache._holder.key = None
+                release()
+            WorkerCache._holder, self.key, self.held = self, key, self.make(*key)
+        return self.held
+
+
 def word_chunks(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes, one text at least."""
     start = held = 0

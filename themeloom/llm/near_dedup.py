@@ -1,8 +1,9 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
-A document's set is that of its five-word shingles, each hashed once to 64 bits; its sketch is the
-``K`` least hashes of the set. Two documents at Jaccard similarity 0.75 share about three quarters
-of the K least hashes of their union, and every one of those stands in both sketches.
+A-Z are read as a-z. A document's set is that of its five-word shingles, each hashed once to 64
+bits; its sketch is the ``K`` least hashes of the set. Two documents at Jaccard similarity 0.75
+share about three quarters of the K least hashes of their union, and every one of those stands in
+both sketches.
 
 1. Texts with the same set become one node, keyed by 128 bits of the set, so exact copies are never
    paired. All that follows works on nodes.
@@ -12,56 +13,56 @@ of the K least hashes of their union, and every one of those stands in both sket
    A set of n <= K shingles shares three quarters of them with another such set, and
    K - m/4 with the sketch of a larger set of m <= n/0.75; it posts by the lesser of the two.
 3. First links: a list's head is the node with the fewest hashes of its own, the middle of a group
-   of near copies. Each node is compared with the one head that it meets most often. Verified links
-   are joined into components, which draws together groups of near copies, however large, with one
-   comparison a node. A second round compares the nodes that stay outside the largest component of
-   their longest lists with the ``HEADS`` most central nodes of those.
-4. The rest, exactly: lists whose nodes are in several components give the pairs of components that
-   meet in them (a component counts once a list, lists of the same components count once); the nodes of two such components are compared,
-   those of a large one in blocks of bounded size from which only links come.
-   Nodes in one component are not compared again: a link inside it changes nothing.
-   Lists that would give over ``MANY`` pairs of nodes, as a passage that many texts share makes, are
-   not paired.
-   Their nodes get inverted lists of their full sets instead: of two sets at 0.75, each has a common
-   shingle among its rarest quarter (and one), so only that quarter is posted, and a shared passage
-   is posted only by texts of which it is three quarters. This needs no cap and loses no pair: two
-   nodes that meet in shorter lists too are paired there.
+   of near copies. Each node is compared with the head that it meets most often, and with the other
+   node of each list of two. Verified links are joined into components, which draws together groups
+   of near copies, however large, with a bounded number of comparisons a node.
+4. The rest, exactly. Lists whose nodes are all in one component are done: a link inside it changes
+   nothing. Of the others, those of up to ``SHORT`` nodes are paired directly. In a longer list each
+   node is described by what sets it apart from the list's head: the shingles that one of both has
+   and the other has not. With d(A) and d(B) the sizes of those differences, o what they share and
+   |A|, |B| the set sizes, A and B are linked exactly where d(A) + d(B) - 2 o <= (|A| + |B|) / 7.
+   Where both are close to the head they are linked with it; all other links need a shared
+   difference, and so many that it stands among the rarest of each (the prefix of step 2, on
+   differences). So a passage or a text that very many documents share costs nothing: it is no
+   difference. What is left meets in inverted lists of differences; classes of nodes (by the size of
+   their difference) that the inequality keeps apart are not paired.
+   Lists of differences with more than ``MANY`` possible pairs are not paired as rows: the nodes of
+   their head are compared in blocks of bounded size, by their differences, and only links leave.
 5. A pair is first held against the union sketch (the K least of both sketches: the share in both
    estimates the similarity; under ``ESTIMATE`` it is let go), then confirmed on full sets.
 
-Full sets are made again from the texts of the nodes in pairs, never kept for all documents.
-Components come from rounds of label passing along verified links, on the cluster.
+Full sets are made again from the texts of the nodes that need them, never kept for all documents.
+Components come from rounds of label passing along verified links, on the cluster. Tables of nodes
+are broadcast only up to ``BROADCAST_KEYS`` counted rows; past it the joins shuffle, and adaptive
+execution splits the partitions of hot keys.
 
 How sure it is: a pair at 0.75 misses step 2 or 5 only if its union sketch of 64 shows under 27 of
 64 in common where 48 are expected (under one in 10^8); a set of at most K shingles is its own
 sketch, so it is compared exactly.
 
-With ``fold_case``, A-Z are read as a-z before all this; op2's SQL compares texts as they are.
-
 Defined cases: a null text or one without a word has no shingle and is linked with nothing; with
 fewer than five words the whole sequence is the one shingle; a null doc_id is no smallest id unless
-a component has no other; repeated rows fall into one node; an empty table gives an empty result.
+a component has no other; repeated rows fall into one node; very long texts are read whole, one at
+a time; columns besides id and text are not read (``keep`` carries them along by place, so their
+names may clash with any used here); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_pass, prepare, text_of
+from .common import Scratch, WorkerCache, arrow_pass, prepare, text_of
 
 WORDS, K, LEAST, ESTIMATE = 5, 64, 27, 0.45
-#: Pairs of nodes of different components up to which a list is paired directly.
-MANY = 1500
-#: Central nodes of a list that its outsiders are compared with first.
-HEADS = 16
-#: Pairs of nodes up to which two components are compared row by row, and shingles of a block beyond that.
-FEW, BLOCK = 64, 200_000
+#: Nodes up to which a list is paired directly, and possible pairs up to which a list of differences is.
+SHORT, MANY = 6, 1500
+#: Elements of the differences that a block holds on either side.
+BLOCK = 200_000
 #: A similarity of 75/100 or more links.
 PART, WHOLE = 75, 100
 #: Node keys (16 bytes each) that are broadcast; more are joined by a shuffle.
@@ -82,15 +83,15 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
+_hashes = WorkerCache(_WordHashes)
 
 
-def shingle_set(text: str, fold_case: bool = False) -> np.ndarray:
+def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct hashes, as signed 64-bit numbers."""
-    words = (text.encode().lower() if fold_case else text.encode()).split()
+    words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_hashes.get().__getitem__, words), np.uint64, len(words))
     n = max(len(h) - WORDS + 1, 1)
     key = np.full(n, min(len(h), WORDS), np.uint64)
     for k in range(min(WORDS, len(h))):
@@ -99,40 +100,47 @@ def shingle_set(text: str, fold_case: bool = False) -> np.ndarray:
     return np.unique((key ^ (key >> np.uint64(32))).view(np.int64))
 
 
-def _sketches(doc_id, texts, fold_case=False):
-    sets = [shingle_set(t, fold_case) for t in texts]
+def _sketches(doc_id, texts):
+    sets = [shingle_set(t) for t in texts]
     keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
     return [doc_id, np.array([len(s) for s in sets], np.int64), keys, [s[:K] for s in sets]]
 
 
+def _alike(n_a, n_b):
+    """Sizes that allow the similarity."""
+    return (n_a * WHOLE >= n_b * PART) & (n_b * WHOLE >= n_a * PART)
+
+
 class Finder:
     """The steps above over one table; scratch tables live in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, fold_case: bool = False):
-        self.spark, self.fold_case = docs.sparkSession, fold_case
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        self.spark = docs.sparkSession
         prepare(self.spark)
         self.scratch = Scratch(self.spark, "neardup")
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id; one row for each row of docs."""
-        cut, drop = self.scratch.cut, self.scratch.drop
-        self.found = cut(arrow_pass(self.docs, ["doc_id", "text"], partial(_sketches, fold_case=self.fold_case), "doc_id long, n_shingles long, node binary, sketch array<long>"), "sketches")
+        """doc_id, n_shingles, component_id; one row for each row of docs. The scratch tables that it reads stay, the others go."""
+        cut = self.scratch.cut
+        self.found = cut(arrow_pass(self.docs, ["doc_id", "text"], _sketches, "doc_id long, n_shingles long, node binary, sketch array<long>"), "sketches")
         posted = cut(self.postings(), "postings")
-        self.nodes = cut(self.posted_nodes(posted), "nodes")
-        first = self.verified(self.head_pairs(posted), "first")
-        labels = self.joined(first)
-        second = self.verified(self.central_pairs(posted, labels), "second")
-        if not second.isEmpty():
-            first = first.unionByName(second)
-            labels = self.joined(first)
-        few, large = self.component_pairs(posted, labels)
-        rest = self.verified(few, "rest").unionByName(self.compared(large, labels))
-        rest = cut(rest, "rest-links")
-        drop(posted)
+        self.nodes = cut(self.one.join(posted.select("node").distinct(), "node", "left_semi"), "nodes")
+        lists = cut(posted.groupBy("value").agg(F.min(F.struct("alone", "node"))["node"].alias("head"), F.count("*").alias("nodes")).filter("nodes > 1"), "lists")
+        links = self.verified(self.head_pairs(posted, lists), "heads")
+        labels = self.joined(links)
+        open_ = self.open_lists(posted, lists, labels)
+        rest = cut(self.verified(self.short_pairs(open_), "short").unionByName(self.long_links(open_)), "rest")
         if not rest.isEmpty():
-            labels = self.joined(first.unionByName(rest))
-        return self.labelled(labels)
+            labels = self.joined(links.unionByName(rest))
+        parts = self.parts(labels)
+        self.scratch.drop_others(self.found, parts)
+        out = self.found.select("doc_id", "n_shingles", "node").join(self.small(parts), "node", "left")
+        return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+    def small(self, rows: DataFrame) -> DataFrame:
+        """Broadcast up to a counted size; rows come from the shared folder, so the count reads no data."""
+        return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
     def postings(self) -> DataFrame:
         """value, node, n of what step 2 posts, and how many hashes the node alone retains."""
@@ -152,120 +160,100 @@ class Finder:
         kept = F.slice("held", 1, F.greatest(least - alone, F.lit(0)).cast("int"))
         return held.select("node", "n", alone.alias("alone"), F.explode(kept).alias("p")).select("node", "n", "alone", F.col("p.value").alias("value"))
 
-    def posted_nodes(self, posted: DataFrame) -> DataFrame:
-        """node, n, sketch of the nodes that are in any list."""
-        return self.one.join(posted.select("node").distinct(), "node", "left_semi")
-
-    def head_pairs(self, posted: DataFrame) -> DataFrame:
-        """Each node with the head that it meets in most lists."""
-        heads = posted.groupBy("value").agg(F.min(F.struct("alone", "node"))["node"].alias("head"))
-        met = posted.join(heads, "value").filter("node != head").groupBy("node", "head").agg(F.count("*").alias("lists"))
-        return met.groupBy("node").agg(F.max(F.struct("lists", "head"))["head"].alias("a")).select("a", F.col("node").alias("b"))
-
-    def central_pairs(self, posted: DataFrame, labels: DataFrame) -> DataFrame:
-        """Nodes outside a list's largest component with that list's most central nodes, for the longest lists of each node."""
-        part = F.coalesce("label", "node")
-        marked = self.scratch.cut(posted.join(labels, "node", "left").select("value", "node", "alone", part.alias("part")), "marked")
-        parts = marked.groupBy("value", "part").agg(F.count("*").alias("nodes"))
-        lists = parts.groupBy("value").agg(F.sum("nodes").alias("nodes"), F.count("*").alias("parts"), F.max(F.struct("nodes", "part"))["part"].alias("largest")).filter(f"parts > 1 and nodes > {HEADS}")
-        outside = marked.join(lists, "value").filter("part != largest")
-        longest = F.slice(F.sort_array(F.collect_list(F.struct("nodes", "value")), False), 1, 3)
-        chosen = outside.groupBy("node", "part").agg(longest.alias("at")).select("node", "part", F.explode("at").alias("at")).select("node", "part", F.col("at.value").alias("value"))
-        chosen = self.scratch.cut(chosen, "outside")
-        wanted = marked.join(chosen.select("value").distinct(), "value", "left_semi")
-        central = wanted.withColumn("_n", F.row_number().over(Window.partitionBy("value").orderBy("alone", "node"))).filter(F.col("_n") <= HEADS)
-        central = central.select("value", F.col("node").alias("a"), F.col("part").alias("part_a"))
-        return chosen.join(central, "value").filter("part != part_a").select("a", F.col("node").alias("b")).distinct()
-
-    def component_pairs(self, posted: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components that meet in a list: as pairs of nodes a, b where those are few, else as rows big, part."""
-        cut, part = self.scratch.cut, F.coalesce("label", "node")
-        lists, sizes = self.lists(posted, labels, "lists")
-        meet = self.meetings(lists, sizes.filter(F.col("pairs") <= MANY))
-        many = sizes.filter(F.col("pairs") > MANY).select("value")
-        if not many.isEmpty():
-            nodes = posted.join(many, "value", "left_semi").select("node").distinct()
-            full = cut(self.full_postings(self.full_sets(nodes, "many")), "full-postings")
-            again, sizes = self.lists(full, labels, "full-lists")
-            meet = meet.unionByName(self.meetings(again, sizes))
-        meet = meet.distinct()
-        members = self.nodes.join(labels, "node", "left").select(part.alias("part"), "node", "n")
-        sizes = members.groupBy("part").agg(F.count("*").alias("size"))
-        x, y = (sizes.select(F.col("part").alias(f"part_{k}"), F.col("size").alias(f"size_{k}")) for k in "xy")
-        meet = cut(meet.join(x, "part_x").join(y, "part_y"), "meetings")
-        a = members.select(F.col("part").alias("part_x"), F.col("node").alias("a"), F.col("n").alias("n_a"))
-        b = members.select(F.col("part").alias("part_y"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-        sized = (F.col("n_a") * WHOLE >= F.col("n_b") * PART) & (F.col("n_b") * WHOLE >= F.col("n_a") * PART)
-        few = meet.filter(F.col("size_x") * F.col("size_y") <= FEW).select("part_x", "part_y").join(a, "part_x").join(b, "part_y").filter(sized).select("a", "b")
-        turned = F.col("size_x") < F.col("size_y")
-        large = meet.filter(F.col("size_x") * F.col("size_y") > FEW)
-        return few, large.select(F.when(turned, F.col("part_y")).otherwise(F.col("part_x")).alias("big"), F.when(turned, F.col("part_x")).otherwise(F.col("part_y")).alias("part"))
-
-    def compared(self, large: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links between large components and those that meet them: full sets against full sets, in blocks.
-
-        Blocks hold a bounded number of shingles on either side, whatever the components' sizes, and
-        only links leave them.
-        """
-        if large.isEmpty():
-            return self.spark.createDataFrame([], "a binary, b binary")
+    def head_pairs(self, posted: DataFrame, lists: DataFrame) -> DataFrame:
+        """Each node with the head that it meets in most lists, and the two nodes of lists of two."""
+        met = posted.join(lists, "value").filter("node != head").groupBy("node", "head").agg(F.count("*").alias("lists"), F.min("nodes").alias("least"))
+        heads = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("lists", "head", "least")), False).alias("heads"))
+        chosen = F.filter("heads", lambda x, i: (i == 0) | (x["least"] == 2))
+        return heads.select(F.col("node").alias("b"), F.explode(chosen).alias("x")).select(F.col("x.head").alias("a"), "b")
+
+    def open_lists(self, posted: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """value, head, nodes, node, n, part of the lists of three nodes or more that have several components."""
+        marked = posted.join(self.small(labels), "node", "left").select("value", "node", "n", F.coalesce("label", "node").alias("part"))
+        marked = self.scratch.cut(marked, "marked")
+        mixed = marked.groupBy("value").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("c")).filter("p != q and c > 2").select("value")
+        mixed = self.scratch.cut(lists.join(mixed, "value", "left_semi"), "mixed")
+        return self.scratch.cut(marked.join(self.small(mixed), "value"), "open")
+
+    def short_pairs(self, open_: DataFrame) -> DataFrame:
+        few = open_.filter(F.col("nodes") <= SHORT)
+        x = few.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
+        y = few.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
+        pairs = x.join(y, (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _alike(F.col("n_a"), F.col("n_b")))
+        return pairs.select("a", "b").distinct()
+
+    def long_links(self, open_: DataFrame) -> DataFrame:
+        """Links found in long lists by what sets their nodes apart from the lists' heads."""
         cut = self.scratch.cut
-        members = cut(self.nodes.join(labels, "node", "left").select(F.coalesce("label", "node").alias("part"), "node", "n"), "members")
-        left = members.join(large.select(F.col("big").alias("part")).distinct(), "part").select(F.col("part").alias("big"), "node", "n")
-        right = large.join(members, "part").select("big", "node", "n").distinct()
-        sets = self.full_sets(left.select("node").unionByName(right.select("node")).distinct(), "large")
-        width = lambda rows, name: rows.groupBy("big").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
-        blocks = cut(width(left, "blocks").join(width(right, "others"), "big"), "blocks")
-        block = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
-        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-        left = left.join(blocks, "big").select("big", block("blocks").alias("at"), every("others").alias("other"), "node", "n", F.lit(True).alias("inside"))
-        right = right.join(blocks, "big").select("big", every("blocks").alias("at"), block("others").alias("other"), "node", "n", F.lit(False).alias("inside"))
-        rows = left.unionByName(right).join(sets, "node")
-        return rows.groupBy("big", "at", "other").applyInPandas(_block_links, "a binary, b binary")
-
-    def lists(self, posted: DataFrame, labels: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        """Rows value, part, lo, hi, nodes of posted lists by component, and value, parts, pairs, k1, k2 of lists with several.
-
-        k1 and k2 are 128 bits of the set of components in the list.
-        """
-        marked = posted.join(labels, "node", "left").select("value", F.coalesce("label", "node").alias("part"), "n")
-        lists = self.scratch.cut(marked.groupBy("value", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("nodes")), tag)
-        across = ((F.sum("nodes") * F.sum("nodes") - F.sum(F.col("nodes") * F.col("nodes"))) / 2).alias("pairs")
-        return lists, self.scratch.cut(lists.groupBy("value").agg(F.count("*").alias("parts"), across, F.bit_xor(F.xxhash64("part")).alias("k1"), F.bit_xor(F.xxhash64(F.lit(1), "part")).alias("k2")).filter("parts > 1"), f"{tag}-sizes")
-
-    @staticmethod
-    def meetings(lists: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Pairs of components of one list whose sizes allow the similarity.
-
-        Lists of the same components, as the shingles of one passage give, are paired once, with the
-        widest sizes of any of them, so no pair is lost.
-        """
-        lists = lists.join(sizes.select("value", "k1", "k2"), "value").groupBy("k1", "k2", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        x, y = (lists.select("k1", "k2", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "lo", "hi")]) for s in "xy")
-        near = (F.col("hi_x") * WHOLE >= F.col("lo_y") * PART) & (F.col("hi_y") * WHOLE >= F.col("lo_x") * PART)
-        return x.join(y, ["k1", "k2"]).filter((F.col("part_x") < F.col("part_y")) & near).select("part_x", "part_y")
-
-    @staticmethod
-    def full_postings(sets: DataFrame) -> DataFrame:
-        """value, node, n of each full set's rarest quarter, by how many of these sets have a shingle."""
-        values = sets.select("node", F.size("full").alias("n"), F.explode("full").alias("value"))
-        common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-        held = values.join(common, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
-        alone = F.col("n") - F.size("held")
-        kept = F.slice("held", 1, F.greatest(F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1 - alone, F.lit(0)).cast("int"))
-        return held.select("node", "n", F.explode(kept).alias("p")).select("node", "n", F.col("p.value").alias("value"))
+        at = cut(open_.filter((F.col("nodes") > SHORT) & (F.col("node") != F.col("head"))).select("head", "node", "part").distinct(), "by-head")
+        if at.isEmpty():
+            return self.spark.createDataFrame([], "a binary, b binary")
+        sets = self.full_sets(at.select("node").unionByName(at.select(F.col("head").alias("node"))).distinct(), "long")
+        heads = at.select(F.col("head").alias("node")).distinct().join(sets, "node").select(F.col("node").alias("head"), F.col("full").alias("of"))
+        both = at.join(sets, "node").join(self.small(cut(heads, "head-sets")), "head")
+        apart = F.concat(F.array_except("full", "of"), F.array_except("of", "full"))
+        near = F.size("apart") * (WHOLE + PART) <= (F.size("full") + F.size("of")) * (WHOLE - PART)
+        apart = cut(both.withColumn("apart", apart).select("head", "node", "part", F.size("full").cast("long").alias("n"), F.size("apart").cast("long").alias("d"), near.alias("inside"), "apart"), "apart")
+        links = apart.filter("inside").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        pairs, many = self.difference_pairs(apart)
+        links = links.unionByName(self.verified(pairs, "apart"))
+        return links if many.isEmpty() else links.unionByName(self.compared(apart.join(self.small(many), "head")))
+
+    def difference_pairs(self, apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs a, b that meet in lists of differences, and the heads with lists that would give over MANY."""
+        cut, key = self.scratch.cut, ["head", "value"]
+        values = apart.select("head", "node", "part", "n", "d", "inside", F.explode("apart").alias("value"))
+        common = values.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1")
+        held = values.join(common, key).groupBy("head", "node").agg(*[F.first(c).alias(c) for c in ("part", "n", "d", "inside")], F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+        # d(A) + d(B) - 2 o <= span for any partner's size; as o <= d(B), o is at least d(A) - span.
+        span = F.floor((F.col("n") + F.floor(F.col("n") * WHOLE / PART)) * (WHOLE - PART) / (WHOLE + PART))
+        least = F.greatest(F.col("d") - span, F.lit(1))
+        held = held.withColumn("s", F.size("held").cast("long")).filter(F.col("s") >= least)
+        kept = F.slice("held", 1, F.greatest(F.col("s") - least + 1, F.lit(0)).cast("int"))
+        step = F.floor(F.log(F.col("d").cast("double")) * 8).cast("int")
+        posted = held.select("head", "node", "part", "n", "d", "s", "inside", step.alias("step"), F.explode(kept).alias("p"))
+        posted = cut(posted.withColumn("value", F.col("p.value")).drop("p"), "differences")
+        classes = posted.groupBy(*key, "step", "inside").agg(F.min("d").alias("d"), F.max("n").alias("n"), F.max("s").alias("s"), F.count("*").alias("c"))
+        classes = cut(classes, "classes")
+        x, y = (classes.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("step", "inside", "d", "n", "s", "c")]) for s in "xy")
+        order = (F.col("step_x") < F.col("step_y")) | ((F.col("step_x") == F.col("step_y")) & (F.col("inside_x") <= F.col("inside_y")))
+        met = x.join(y, key).filter(order & ~(F.col("inside_x") & F.col("inside_y")) & _reach("x", "y"))
+        same = (F.col("step_x") == F.col("step_y")) & (F.col("inside_x") == F.col("inside_y"))
+        met = met.withColumn("pairs", F.when(same, F.col("c_x") * (F.col("c_x") - 1) / 2).otherwise(F.col("c_x") * F.col("c_y"))).filter("pairs > 0")
+        met = cut(met.select(*key, "step_x", "inside_x", "step_y", "inside_y", "pairs"), "met")
+        sizes = met.groupBy(*key).agg(F.sum("pairs").alias("all"))
+        many = cut(sizes.filter(F.col("all") > MANY).select("head").distinct(), "many")
+        met = met.join(sizes.filter(F.col("all") <= MANY).select(*key), key, "left_semi").drop("pairs")
+        x, y = (posted.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n", "d", "s", "step", "inside")]) for s in "xy")
+        apart_still = (F.col("part_x") != F.col("part_y")) & (F.col("node_x") != F.col("node_y")) & _reach("x", "y") & _alike(F.col("n_x"), F.col("n_y"))
+        some = met.join(x, [*key, "step_x", "inside_x"]).join(y, [*key, "step_y", "inside_y"]).filter(apart_still)
+        pairs = some.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+        return pairs, many
+
+    def compared(self, apart: DataFrame) -> DataFrame:
+        """Links between nodes of one head, by their differences from it, in blocks of bounded size that send out links only."""
+        rows = self.scratch.cut(apart, "blocks")
+        blocks = rows.groupBy("head").agg(F.ceil(F.sum("d") / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(self.small(self.scratch.cut(blocks, "block-counts")), "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        rows = rows.withColumn("other", every).withColumn("at", F.least("own", "other")).withColumn("to", F.greatest("own", "other"))
+        rows = rows.select("head", "at", "to", "own", "node", "part", "n", "d", "inside", "apart")
+        return rows.groupBy("head", "at", "to").applyInPandas(_block_links, "a binary, b binary")
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs a, b that reach the similarity: union sketch first, full sets then."""
+        pairs = self.scratch.cut(pairs, f"{tag}-pairs")
+        if pairs.isEmpty():
+            return pairs
         side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
         held = pairs.join(side("a"), "a").join(side("b"), "b")
-        union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, F.greatest(F.lit(K), F.lit(1)))
+        union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, K)
         both = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
         whole = (F.col("n_a") <= K) & (F.col("n_b") <= K)
         shared = F.size(F.array_intersect("s_a", "s_b"))
         exact = shared * WHOLE >= (F.col("n_a") + F.col("n_b") - shared) * PART
         sure = F.when(whole, exact)
-        likely = F.when(whole, exact).otherwise(both >= F.lit(ESTIMATE) * F.size(union))
+        likely = F.when(whole, exact).otherwise((both >= F.lit(ESTIMATE) * F.size(union)) & _alike(F.col("n_a"), F.col("n_b")))
         kept = self.scratch.cut(held.filter(likely).select("a", "b", "n_a", "n_b", sure.alias("sure")), f"{tag}-likely")
         done, open_ = kept.filter("sure").select("a", "b"), kept.filter("sure is null")
         if open_.isEmpty():
@@ -275,18 +263,15 @@ class Finder:
         full = full.join(sets.select(F.col("node").alias("b"), F.col("full").alias("f_b")), "b")
         common = F.size(F.array_intersect("f_a", "f_b"))
         links = full.filter(common * WHOLE >= (F.col("n_a") + F.col("n_b") - common) * PART).select("a", "b")
-        out = self.scratch.cut(done.unionByName(links), f"{tag}-links")
-        self.scratch.drop(kept, sets)
-        return out
+        return self.scratch.cut(done.unionByName(links), f"{tag}-links")
 
     def full_sets(self, keys: DataFrame, tag: str) -> DataFrame:
         """node, full: the whole set of each node, from the text of one of its documents."""
         keys = self.scratch.cut(keys, f"{tag}-keys")
-        small = lambda d: F.broadcast(d) if keys.count() <= BROADCAST_KEYS else d
-        one = self.found.join(small(keys), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        one = self.scratch.cut(one, f"{tag}-ids")
-        texts = self.docs.join(small(one), self.docs["doc_id"].eqNullSafe(one["doc_id"])).select("node", "text")
-        sets = arrow_pass(texts, ["node", "text"], partial(_keyed_sets, fold_case=self.fold_case), "node binary, full array<long>").filter("full is not null")
+        one = self.found.join(self.small(keys), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        one = self.small(self.scratch.cut(one, f"{tag}-ids"))
+        texts = self.docs.join(one, self.docs["doc_id"].eqNullSafe(one["doc_id"])).select("node", "text")
+        sets = arrow_pass(texts, ["node", "text"], _keyed_sets, "node binary, full array<long>").filter("full is not null")
         return self.scratch.cut(sets.dropDuplicates(["node"]), f"{tag}-sets")
 
     def joined(self, links: DataFrame) -> DataFrame:
@@ -299,69 +284,79 @@ class Finder:
         both = self.scratch.cut(both, "edges")
         labels = self.scratch.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
         while True:
-            near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-            step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
-            jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
+            at = self.small(labels.select("node", "label"))
+            near = both.join(at.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+            step = near.join(at, "node").select("node", F.least("label", "near").alias("next"), "label")
+            jump = at.select(F.col("node").alias("next"), F.col("label").alias("far"))
             moved = step.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved"))
-            done = self.scratch.cut(moved, "labels")
-            self.scratch.drop(labels)
-            labels = done.select("node", "label")
-            labels._scratch_path = done._scratch_path
-            if done.filter("moved").isEmpty():
-                return labels
-
-    def labelled(self, labels: DataFrame) -> DataFrame:
-        least = self.found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-        part = least.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-        smallest = part.groupBy("label").agg(F.min("least").alias("component_id"))
-        by_node = self.scratch.cut(part.join(smallest, "label").select("node", "component_id"), "components")
-        out = self.found.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-        return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").isNull().alias("alone"))
+            labels = self.scratch.cut(moved, "labels")
+            if labels.filter("moved").isEmpty():
+                return labels.select("node", "label")
+
+    def parts(self, labels: DataFrame) -> DataFrame:
+        """node, component_id of nodes in links or of several documents; any other document is its own component."""
+        least = self.found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
+        part = least.join(self.small(labels), "node", "left").filter("label is not null or docs > 1")
+        part = self.scratch.cut(part.select("node", "least", F.coalesce("label", "node").alias("label")), "part")
+        smallest = self.scratch.cut(part.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
+        return self.scratch.cut(part.join(self.small(smallest), "label").select("node", "component_id"), "components")
+
+
+def _reach(x: str, y: str):
+    """Sizes of differences at which two nodes of these sizes can still be linked, however much they share."""
+    span = (F.col(f"n_{x}") + F.col(f"n_{y}")) * (WHOLE - PART) / (WHOLE + PART)
+    return F.col(f"d_{x}") + F.col(f"d_{y}") <= span + 2 * F.least(F.col(f"s_{x}"), F.col(f"s_{y}"))
 
 
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs at the similarity between the rows inside a large component and the others of the block."""
-    own, others = rows[rows["inside"]], rows[~rows["inside"]]
+    """Links between two blocks of one head's nodes (or inside one): of each node one link to every component it reaches."""
+    at, to = rows["at"].iat[0], rows["to"].iat[0]
+    own, others = rows[rows["own"] == at].reset_index(drop=True), rows[rows["own"] == to]
     a, b = [], []
     if len(own) and len(others):
-        sizes = own["n"].to_numpy(np.int64)
-        values = np.concatenate([np.asarray(x, np.int64) for x in own["full"]])
+        sizes, apart, inside = own["n"].to_numpy(np.int64), own["d"].to_numpy(np.int64), own["inside"].to_numpy(bool)
+        values = np.concatenate([np.asarray(x, np.int64) for x in own["apart"]])
         order = np.argsort(values, kind="stable")
-        values, owner = values[order], np.repeat(np.arange(len(own)), [len(x) for x in own["full"]])[order]
-        names = own["node"].tolist()
-        for node, n, full in zip(others["node"], others["n"], others["full"], strict=True):
-            full = np.asarray(full, np.int64)
-            lo, hi = np.searchsorted(values, full, "left"), np.searchsorted(values, full, "right")
+        values, owner = values[order], np.repeat(np.arange(len(own)), apart)[order]
+        names, parts = own["node"].tolist(), own["part"].astype("category").cat
+        codes, of = parts.codes.to_numpy(), {p: i for i, p in enumerate(parts.categories)}
+        for node, part, n, d, near, mine in zip(others["node"], others["part"], others["n"], others["d"], others["inside"], others["apart"], strict=True):
+            mine = np.asarray(mine, np.int64)
+            lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
             each = hi - lo
-            at = np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
-            same = np.bincount(owner[at], minlength=len(own))
-            for i in np.flatnonzero(same * WHOLE >= (sizes + n - same) * PART):
+            met = np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            same = np.bincount(owner[met], minlength=len(own))
+            linked = ((apart + d - 2 * same) * (WHOLE + PART) <= (sizes + n) * (WHOLE - PART)) & (codes != of.get(part, -1))
+            if near:
+                linked &= ~inside
+            hits = np.flatnonzero(linked)
+            for i in hits[np.unique(codes[hits], return_index=True)[1]]:
                 a.append(names[i])
                 b.append(node)
     return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
 
-def _keyed_sets(keys, texts, fold_case=False):
+def _keyed_sets(keys, texts):
     """A repeated doc_id may bring another text; only the one that makes the key counts."""
-    sets = [shingle_set(t, fold_case) for t in texts]
+    sets = [shingle_set(t) for t in texts]
     same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys)]
     return [keys, [s if ok else None for s, ok in zip(sets, same)]]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs."""
-    out = Finder(docs, id_col, text_col, fold_case).components()
+    out = Finder(docs, id_col, text_col).components()
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = False) -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns: the one of the smallest id. Rows that repeat that id all stay."""
-    found = Finder(docs, id_col, text_col, fold_case).components()
+    finder = Finder(docs, id_col, text_col)
+    found = finder.components()
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Scratch(docs.sparkSession, "neardup-gone").cut(gone, "gone")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    gone = finder.scratch.cut(gone, "gone")
+    finder.scratch.drop_others(gone)
     inner = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     at = f"_c{docs.columns.index(id_col)}"
-    kept = inner.join(few, F.col(at).cast("long") == F.col("_gone"), "left_anti")
+    kept = inner.join(finder.small(gone), F.col(at).cast("long") == F.col("_gone"), "left_anti")
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
-

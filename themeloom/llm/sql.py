@@ -6,7 +6,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WORDS_OF = f"list_filter(string_split_regex(t, '{BLANKS}'), lambda w: w <> '')"
 
 NEAR_DEDUP = f"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, {WORDS_OF} AS ws FROM d),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
   ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
