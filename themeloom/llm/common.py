@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-#: Rows of one Arrow batch. With whole documents in a batch this keeps a Python worker at some tens of MB.
-ARROW_ROWS = 1000
-#: Bytes of text that a Python worker turns into words at once.
-CHUNK_BYTES = 4 << 20
+#: Rows and bytes of one Arrow batch (one row at least), which bound what JVM and Python worker hold of it.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+#: Bytes of text that a Python worker turns into words at once; words and their tables take some 30 times as much.
+CHUNK_BYTES = 1 << 20
 #: Words as the contracts define them, in Java's syntax.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: The bytes that separate such words; bytes.split() splits at exactly these.
@@ -46,6 +46,7 @@ def prepare(spark: SparkSession) -> None:
         sc.addPyFile(str(path))
         _shipped.add(sc.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Scratch, arrow_schema, prepare, text_of, tokenizer_path
+from .common import CHUNK_BYTES, Scratch, WorkerCache, arrow_schema, prepare, text_of, tokenizer_path
 
 MODEL, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Pieces that one shard packs.
@@ -100,13 +100,7 @@ class Words:
         return learnt
 
 
-_words: dict[str, Words] = {}
-
-
-def words_of(model: str) -> Words:
-    if model not in _words:
-        _words[model] = Words(model)
-    return _words[model]
+_words = WorkerCache(Words)
 
 
 def lowered(word: str) -> str:
@@ -116,7 +110,7 @@ def lowered(word: str) -> str:
 
 def token_bytes(texts: pa.Array, model: str = MODEL) -> Iterator[bytes]:
     """Each text's ids as little-endian 32-bit integers; of so many texts at once as hold about CHUNK_BYTES."""
-    tok = words_of(model)
+    tok = _words.get(model)
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(texts):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, prepare, text_of, tokenizer_path
+from .common import WorkerCache, arrow_pass, prepare, text_of, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 #: Entries of the broadcast table, and of the summary that a task sends for it.
@@ -71,13 +71,7 @@ class Lengths(dict):
         return n
 
 
-_lengths: dict[str, Lengths] = {}
-
-
-def lengths_of(model: str) -> Lengths:
-    if model not in _lengths:
-        _lengths[model] = Lengths(model)
-    return _lengths[model]
+_lengths = WorkerCache(Lengths)
 
 
 class _Count:
@@ -85,7 +79,7 @@ class _Count:
         self.model, self.table = model, table
 
     def __call__(self, doc_id, texts):
-        rare, frequent = lengths_of(self.model), self.table.value
+        rare, frequent = _lengths.get(self.model), self.table.value
         n_bytes, n_tokens = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         get, miss = frequent.get, rare.__getitem__
         for i, text in enumerate(texts):
@@ -121,7 +115,7 @@ def frequent_table(docs: DataFrame, model: str = MODEL, text_col: str = "text",
     prepare(docs.sparkSession)
     found = docs.select(text_of(text_col).alias("text")).mapInArrow(summarise, "word string, n long")
     top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    lengths = lengths_of(model)
+    lengths = _lengths.get(model)
     return {r.word: lengths[r.word] for r in top.collect()}
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, arrow_pass, prepare, restore, text_of
+from .common import WorkerCache, annotate, arrow_pass, prepare, restore, text_of
 
 SAMPLE, SAMPLE_SENTENCES, SEED = 1500, 60, 11
 EPOCHS, RATE, PENALTY, BIAS = 120, 1.0, 1e-3, -10.0
@@ -163,14 +163,8 @@ class _Weights(dict):
         return x
 
 
-_weights: dict[int, _Weights] = {}
-
-
-def _kept_weights(key: int, model: Model) -> _Weights:
-    if key not in _weights:
-        _weights.clear()
-        _weights[key] = _Weights(model)
-    return _weights[key]
+#: By the id of the broadcast model.
+_weights = WorkerCache(lambda key, shared: _Weights(shared.value))
 
 
 def sentence_scores(text: str, model: Model) -> list[float]:
@@ -183,7 +177,7 @@ class _Score:
 
     def scores(self, texts) -> np.ndarray:
         model = self.shared.value
-        weight = _kept_weights(self.key, model).__getitem__
+        weight = _weights.get(self.key, self.shared).__getitem__
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
             if model.constant is not None:
