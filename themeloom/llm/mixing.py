@@ -16,12 +16,15 @@ source's size and the excess is shared again by weight until none is above; the
 is a water level t with target = min(cap * size, weight * t), which prefix sums over the sources
 sorted by cap * size / weight give at once.
 
-The offset is drawn from a hash of the source. Of ``OFFSETS`` evenly spaced turns of it the one whose
-taken words come nearest to the target is used, which matters where a few documents are very long.
+The one offset of a source is drawn from a hash of the seed and the source, so every document has the
+same chance of each copy. What is taken misses a source's target by about one copy of its longest
+documents at most, which shows only in sources of few documents.
 
 Defined cases: a null text has size 0; null is a source of its own; if all sizes are 0 every target
 is 0 and nothing is taken; an empty table gives an empty result; repeated rows stand in line each;
-equal hashes go by doc_id, then size. Reruns agree: nothing depends on partitions or on chance.
+equal hashes go by doc_id, then size; very long texts only count as their size; columns besides id,
+source and text are not read (``mix`` carries them along by place, so names may clash). Reruns agree:
+nothing depends on partitions or on chance.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from .common import WORD_PATTERN, Scratch, text_of
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, "mix"
 #: Rows that one slice of a line may hold, about.
 SLICE = 20_000
-OFFSETS = 16
 #: Rows of the tables by source and class that are broadcast, some MB.
 BROADCAST_ROWS = 100_000
 
@@ -80,12 +82,7 @@ def plan(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, cap: int = CAP, see
     starts = classes.withColumn("_class_start", F.coalesce(F.sum("_rows").over(first), F.lit(0)))
     starts = starts.withColumn("_slices", F.ceil(F.col("_rows") / slice_rows)).join(wanted, ["_none", "_key"]).drop("_words", "_rows")
     sliced = rows.join(_small(scratch.cut(starts, "starts")), ["_none", "_key", "_class"]).withColumn("_slice", F.expr("cast(floor(_hash * _slices / 4294967296D) as int)"))
-    ranked = _ranked(sliced)
-    taken = ranked.groupBy("_none", "_key").agg(*[F.sum(_copies(F.lit(m)) * F.col("_size")).alias(f"_{m}") for m in range(OFFSETS)], F.first("target").alias("_target"))
-    tries = F.array(*[F.struct(F.abs(F.col(f"_{m}") - F.col("_target")).alias("off"), F.lit(m).alias("turn")) for m in range(OFFSETS)])
-    turns = taken.select("_none", "_key", F.array_min(tries)["turn"].alias("_turn"))
-    out = ranked.join(_small(scratch.cut(turns, "turns")), ["_none", "_key"])
-    return out.withColumn("copies", _copies(F.col("_turn"))).drop("_none", "_key", "_rank", "_rate", "_offset", "_turn")
+    return _ranked(sliced).withColumn("copies", _copies()).drop("_none", "_key", "_rank", "_rate", "_offset")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -93,9 +90,9 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _copies(turn) -> Column:
-    """Integer boundaries that a row's stretch crosses, after the offset turned so many sixteenths."""
-    start = F.pmod(F.col("_offset") + turn * F.lit((1 << 32) // OFFSETS).cast("long"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+def _copies() -> Column:
+    """Integer boundaries that a row's stretch crosses, after the offset."""
+    start = F.col("_offset") / F.lit(float(1 << 32))
     upto = lambda r: F.floor(F.col("_rate") * r + start)
     return (upto(F.col("_rank")) - upto(F.col("_rank") - 1)).cast("long")
 

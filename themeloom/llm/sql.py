@@ -57,11 +57,8 @@ r AS (SELECT d.doc_id, d.size, t.source, t.source_size, t.target, t.off, CASE WH
   row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 8 + (((size << 3) >> (length(bin(size)) - 1)) & 7),
     {HASH32.format("concat_ws('|', 'mix', coalesce(d.doc_id::VARCHAR, ''))")}, d.doc_id, d.size) AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT r.*, m, floor(rate * k + ((off + m * 268435456) % 4294967296) / 4294967296.0::DOUBLE)::BIGINT
-  - floor(rate * (k - 1) + ((off + m * 268435456) % 4294967296) / 4294967296.0::DOUBLE)::BIGINT AS copies FROM r, range(16) AS x(m)),
-g AS (SELECT source, m, abs(sum(copies * size) - first(target)) AS miss FROM c GROUP BY source, m),
-z AS (SELECT source, arg_min(m, (miss, m)) AS m FROM g GROUP BY source)
-SELECT c.doc_id, c.size, c.source_size, c.target, (c.copies * c.size)::BIGINT AS taken FROM c JOIN z ON c.source IS NOT DISTINCT FROM z.source AND c.m = z.m
+c AS (SELECT r.*, floor(rate * k + off / 4294967296.0::DOUBLE)::BIGINT - floor(rate * (k - 1) + off / 4294967296.0::DOUBLE)::BIGINT AS copies FROM r)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM c
 """
 
 SQL: dict[str, str] = {"op2_near_dedup": NEAR_DEDUP, "op3_quality_rules": QUALITY_RULES, "op5_mixing": MIXING}
