@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from themeloom.llm import chat_format, fingerprints, language_id, license_scan, mixing, near_dedup, packing, quality_rules, queries, token_counts, toxicity
 from themeloom.llm.common import table, tokenizer_path
@@ -257,6 +258,26 @@ def test_token_counts_are_the_librarys(spark, docs):
     assert {r.doc_id: (r.n_tokens, r.n_bytes) for r in token_counts.count_tokens(d).collect()} == {i: (len(sp.encode(t)), len(t.encode())) for i, t in enumerate(texts)}
 
 
+def plain_likeness(a, b):
+    """One less the squared distance of the sketch lanes over their number and both counts of features."""
+    if a.tolist() == b.tolist():
+        return 1.0
+    at = fingerprints.DIGEST
+    apart = sum(((int(x) - int(y) + 2**31) % 2**32 - 2**31) ** 2 for x, y in zip(a[at + 1 :], b[at + 1 :]))
+    both = float(a[at]) + float(b[at])
+    return min(max(1 - apart / fingerprints.SKETCH / max(both, 1), 0), 1 - 1e-9) if both else 0.0
+
+
+def test_fingerprints_of_repeated_and_missing_ids(spark):
+    """Null ids first, then ids; equal ids by a hash of the text: every row meets its next one in any cut into slices."""
+    rows = [(None, f"n {i % 7}\nx") for i in range(40)] + [(5, f"five {i} words\nof text {i}") for i in range(60)] + [(i, f"t {i}\n{i} u") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    line = [(r.doc_id, r.text) for r in d.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()]
+    want = sorted((k or -1, hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest()) for (k, a), (_, b) in zip(line, line[1:] + line[:1]))
+    for slice_rows in (7, 1000):
+        assert sorted((r.doc_id or -1, r.edited_sha256) for r in fingerprints.fingerprints(d, slice_rows=slice_rows).collect()) == want
+
+
 def test_fingerprints(docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     ids = sorted(texts)
@@ -266,6 +287,8 @@ def test_fingerprints(docs):
         new = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
         assert rows[k].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
         assert rows[k].edited_fingerprint == fingerprints.render(fingerprints.fingerprint(new)) and rows[k].fingerprint == fingerprints.render(fingerprints.fingerprint(a))
+        own, new_fp, after = (fingerprints.fingerprint(x) for x in (a, new, b))
+        assert rows[k].near_edited == plain_likeness(own, new_fp) and rows[k].near_next == plain_likeness(own, after)
     assert (fingerprints.fingerprint("a b\nc d") == fingerprints.fingerprint("c d\na b")).all()
 
 

@@ -13,8 +13,10 @@ in one and not in the other; likeness is 1 - that / (features of both), kept in
 exactly where fingerprints are equal.
 
 Defined cases: null text is empty; an empty text has no paragraph with a word, the zero vector, and
-likeness 1 to another such and 0 to all else; a single document is its own next one; equal doc_ids
-go by text; an empty table gives an empty result; other columns are not read.
+likeness 1 to another such and 0 to all else; a single document is its own next one; null ids come
+first; equal doc_ids go by a hash of the text, then by the text; very long texts are read whole;
+repeated rows stand in line each; an empty table gives an empty result; other columns are not read,
+so their names may clash.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, prepare, text_of
+from .common import WorkerCache, arrow_schema, prepare, text_of
 
 DIGEST, SKETCH, SHINGLE = 16, 64, 3
 LANES = DIGEST + 1 + SKETCH
-#: Rows that one partition of the ordered pass holds, about.
-SLICE_ROWS = 8_000
+#: Rows that one partition of the ordered pass holds, about, and the most partitions: past it they grow.
+SLICE_ROWS, SLICES = 8_000, 16_384
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -52,7 +55,7 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
+_hashes = WorkerCache(_WordHashes)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,7 +73,8 @@ def paragraph_vectors(paragraphs: list[bytes]) -> np.ndarray:
     n = np.array([len(w) for w in words], np.int64)
     digests = b"".join(hashlib.blake2b(p, digest_size=4 * DIGEST).digest() for p in paragraphs)
     out[:, :DIGEST] = np.frombuffer(digests, "<u4").reshape(-1, DIGEST)
-    flat = np.fromiter((_hashes[x] for w in words for x in w), np.uint64, int(n.sum()))
+    known = _hashes.get()
+    flat = np.fromiter((known[x] for w in words for x in w), np.uint64, int(n.sum()))
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     features = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
     out[:, DIGEST] = features
@@ -188,42 +192,46 @@ def _runs(pairs: list) -> Iterator[list]:
         yield run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = SLICE_ROWS, slices: int = SLICES) -> DataFrame:
     """The result of each row of docs with its edited text and the next document.
 
-    Slices of the order come from quantiles of the ids (a narrow pass). Each slice's first row is
+    The order is cut into slices of about slice_rows rows, at most ``slices`` of them, by a range
+    partitioning of ids and text hashes alone. Their first keys are the one thing that reaches the
+    driver, a bounded list; rows find their slice by binary search in it. Each slice's first row is
     also given to the slice before it as its end, so every row meets its next one in its own slice
-    and one shuffle of the texts is all that moves.
+    and one shuffle of the texts is all that moves. A slice is sorted with spilling and read in
+    batches, so its size bounds no memory.
     """
     spark = docs.sparkSession
     prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    ids = d.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"))
-    n = ids.count()
+    d = d.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h"))
+    n = d.count()
     if not n:
         return spark.createDataFrame([], RESULT)
-    slices = max(1, round(n / slice_rows))
-    bounds = sorted(set(ids.select(F.percentile_approx("k", [i / slices for i in range(1, slices)] or [0.5], 100 * slices)).first()[0])) if slices > 1 else []
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    sliced = ids.select(_slice_of(F.col("k"), bounds).alias("slice"), "k").groupBy("slice").agg(F.min("k").alias("k"))
-    firsts = sorted((r.slice, r.k) for r in sliced.collect())  # one row a slice
-    before = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}  # the first follows the last
-    rows = d.select(_slice_of(key, bounds).alias("slice"), "doc_id", "text", F.lit(False).alias("end"))
-    marks = d.filter(key.isin(list(before))).groupBy("doc_id").agg(F.min("text").alias("text"))
-    where = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    marks = marks.select(where[F.coalesce("doc_id", F.lit(-(1 << 63)))].alias("slice"), "doc_id", "text", F.lit(True).alias("end"))
-    both = rows.unionByName(marks)
-    place = F.array_position(F.array(*[F.lit(s) for s, _ in firsts]), F.col("slice")).cast("int") - 1
-    dealt = both.repartitionById(len(firsts), place).sortWithinPartitions("slice", "end", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(_Ordered(), RESULT)
-
-
-def _slice_of(key, bounds: list[int]):
-    """How many bounds lie below, by halving."""
-    def cut(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= bounds[mid], cut(lo, mid)).otherwise(cut(mid + 1, hi))
-
-    return cut(0, len(bounds)).cast("int")
+    ranged = d.select("k", "h").repartitionByRange(min(slices, max(1, round(n / slice_rows))), "k", "h")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("at")).agg(F.min(F.struct("k", "h")).alias("first")).select("first.*").collect()
+    bounds = np.array(sorted((r.k, r.h) for r in firsts), np.int64)
+    place = _place(spark.sparkContext.broadcast(bounds))
+    rows = d.withColumn("place", place("k", "h")).select(F.expr("place div 2").cast("int").alias("slice"), "doc_id", "h", "text", (F.col("place") % 2 == 1).alias("first"))
+    marks = rows.filter("first").groupBy("slice").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.min("text").alias("text"))
+    before = F.pmod(F.col("slice") - 1, F.lit(len(bounds)))  # the first slice follows the last
+    both = rows.select("slice", "doc_id", "h", "text", F.lit(False).alias("end")).unionByName(marks.select(before.alias("slice"), "doc_id", "h", "text", F.lit(True).alias("end")))
+    dealt = both.repartitionById(len(bounds), F.col("slice")).sortWithinPartitions("slice", "end", F.col("doc_id").asc_nulls_first(), "h", "text")
+    return dealt.select("slice", "doc_id", "text", "end").mapInArrow(_Ordered(), RESULT)
+
+
+def _place(shared):
+    """Of a key: twice its slice, and one more where it is the slice's first key."""
+
+    @F.pandas_udf("long")
+    def place(k: pd.Series, h: pd.Series) -> pd.Series:
+        bounds = shared.value
+        lo, hi = np.searchsorted(bounds[:, 0], k, "left"), np.searchsorted(bounds[:, 0], k, "right")
+        at, text = hi - 1, h.to_numpy()
+        for i in np.flatnonzero(hi - lo > 0):  # the id begins a slice or several
+            at[i] = lo[i] + np.searchsorted(bounds[lo[i] : hi[i], 1], text[i], "right") - 1
+        first = (bounds[at, 0] == k.to_numpy()) & (bounds[at, 1] == text)
+        return pd.Series(2 * at + first)
+
+    return place
