@@ -29,11 +29,6 @@ SUMMARY_ASKS = (
     r"\bwhat (?:did|have|had) we (?:discuss|talk|cover|decide|agree|go over)", r"\bwhat we(?:'ve| have)? (?:discussed|talked about|covered|decided|agreed|gone over)\b",
     r"\beverything (?:we|you)(?:'ve| have)? (?:discussed|talked about|covered|said|told)\b", r"\bso far\b.*\b(?:we|discussed|talked|covered)\b", r"\b(?:we|discussed|talked|covered)\b.*\bso far\b",
 )
-# Markup parameters that make a text junk wherever they stand.
-JUNK_INSIDE = (
-    r"\|(?:thumb|right|left|center|upright|frameless|frame|border|baseline)", r"\|upright\s*=", r"\|\d+x\d+px", r"\|\d+px",
-    r"\bthumb\b.*\bupright\b", r"\bright\b\s+thumb\b", r"\bupright\s*=\s*[\d.]+", r"\b\d+x\d+px\b",
-)
 CODE_LIKE = r"</?[A-Za-z][\w:.-]*[^>]*/?>|::|=>|->|\)\s*\{|\b(?:def|function|class|fn|impl)\s+\w+\s*[(<]|^\s{4,}\S"
 # Where a prediction ends, in the order in which they are cut.
 PREDICTION_ENDS = (".assistant", "\n\nQuestion", "</s>", "(Document", "\n\nAnswer", "(Passage")
@@ -69,7 +64,7 @@ def protected(text: Column) -> Column:
 
 def junk_by_pattern(text: Column) -> Column:
     low = F.lower(F.trim(text))
-    return any_of(low, ["^(?:" + "|".join(T.JUNK_STARTS) + ")", *JUNK_INSIDE])
+    return any_of(low, ["^(?:" + "|".join(T.JUNK_STARTS) + ")", *T.JUNK_INSIDE])
 
 
 def short_user_unit(text: Column) -> Column:
@@ -130,9 +125,14 @@ def with_stems(words: Column) -> Column:
     return F.array_union(words, F.transform(words, T.soft_stem))
 
 
+# Markup that a score does not see, and labels before an answer.
+MARKS = r"[*_`#>]+"
+ANSWER_LABEL = r"(?i)^(?:final\s+answer|the\s+answer\s+is|answer\s+is|answer)\s*[:\-]?\s*"
+
+
 def scoring_form(text: Column) -> Column:
     """Lower case without markup, punctuation and articles; a decimal point stays, a thousands comma goes."""
-    c = F.regexp_replace(F.lower(text), r"[*_`#]+", "")
+    c = F.regexp_replace(F.lower(text), MARKS, "")
     c = F.regexp_replace(F.regexp_replace(c, r"(?<=\d),(?=\d{3}\b)", ""), r"(?<=\d)\.(?=\d)", T.HOLD)
     c = F.regexp_replace(c, rf"[^\p{{L}}\p{{N}} \t\r\n{T.HOLD}]", " ")
     return T.squeeze(F.regexp_replace(F.replace(c, F.lit(T.HOLD), F.lit(".")), r"\b(?:a|an|the)\b", " "))
@@ -142,7 +142,7 @@ def final_line(text: Column) -> Column:
     """The last line with anything in it, without markup and a leading label; empty if there is none."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     last = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit(""))
-    return F.regexp_replace(F.trim(F.regexp_replace(last, r"[*_`#]+", "")), r"(?i)^(?:(?:the|my) )?(?:final )?answer(?: is)?\s*[:\-]?\s*", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(last, MARKS, "")), ANSWER_LABEL, "")
 
 
 def prediction(text: Column, first_line: Column) -> Column:

@@ -33,7 +33,8 @@ _ENDS = r"[.,;:!?()\[\]\"'“”‘’]+"
 
 def protect_abbreviations(text: Column) -> Column:
     held = reduce(lambda c, a: F.replace(c, F.lit(a), F.lit(a.replace(".", HOLD))), ABBREVIATIONS_MANY_DOTS, text)
-    return F.regexp_replace(held, f"({'|'.join(sorted(ABBREVIATIONS, key=lambda a: (-len(a), a)))})\\.", f"$1{HOLD}")
+    # The period comes first in the pattern, so the alternatives are only tried where one stands.
+    return F.regexp_replace(held, f"\\.(?<=(?:{'|'.join(sorted(ABBREVIATIONS, key=lambda a: (-len(a), a)))})\\.)", HOLD)
 
 
 def squeeze(text: Column) -> Column:
@@ -132,9 +133,36 @@ JUNK_STARTS = (
 )
 
 
-def is_junk(text: Column) -> Column:
-    """Too short, or begun as headings, references and markup are."""
-    return is_short_junk(text) | F.lower(F.trim(text)).rlike("^(?:" + "|".join(JUNK_STARTS) + ")")
+# The two of them that prose may begin with too, and the words from which it is taken for prose where asked.
+PROSE_STARTS, PROSE_WORDS = (r"[a-z][a-z]+\s*\(\d{4}", r"\d+\.\d+\s+for\s+"), 8
+# Image markup anywhere in a sentence, which is junk if little is left without the markup.
+JUNK_INSIDE = (
+    r"\|(?:thumb|right|left|center|upright|frameless|frame|border|baseline)", r"\|upright\s*=", r"\|\d+x\d+px", r"\|\d+px",
+    r"\bthumb\b.*\bupright\b", r"\bright\b\s+thumb\b", r"\bupright\s*=\s*[\d.]+", r"\b\d+x\d+px\b",
+)
+# Wiki markup and what stays of it, in the order of replacement.
+WIKI = (
+    (r"(?i)^(?:\s*(?:thumb|right|left|center|upright(?:\s*=[^|]*)?|frameless|frame|border|baseline|\d+(?:x\d+)?px)\s*\|)+", ""),
+    (r"\[\[(?:File|Image):[^\]]*\|", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1"), (r"\{\{[^}]*\}\}", ""), (r"<[^>]+>", ""),
+)
+
+
+def wiki_clean(text: Column) -> Column:
+    """Text without image parameters, links, templates, tags and bars at its ends."""
+    plain = reduce(lambda c, kv: F.regexp_replace(c, kv[0], kv[1]), WIKI, text)
+    for edge in (r"^\s+|\s+$", r"^\|+|\|+$", r"^\s+|\s+$"):
+        plain = F.regexp_replace(plain, edge, "")
+    return plain
+
+
+def is_junk(text: Column, lenient: bool = False) -> Column:
+    """Too short, begun as headings, references and markup are, or of image markup with little else. Lenient lets long prose begin with a year or a decimal."""
+    low = F.lower(F.trim(text))
+    begun = low.rlike("^(?:" + "|".join(p for p in JUNK_STARTS if not lenient or p not in PROSE_STARTS) + ")")
+    if lenient:
+        begun |= (n_words(text) < PROSE_WORDS) & low.rlike("^(?:" + "|".join(PROSE_STARTS) + ")")
+    marked = low.rlike("|".join(JUNK_INSIDE)) & is_short_junk(wiki_clean(F.trim(text)))
+    return is_short_junk(text) | begun | marked
 
 
 PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import chat as C
 from ..functions import text as T
 
 
@@ -26,6 +27,30 @@ def verdicts(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", F.when(p == a, "exact").when((a != "") & held, "contains").otherwise("none").alias("verdict"))
 
 
+def matches(pairs: DataFrame) -> DataFrame:
+    """From id, prediction, answers (array): the strictest rule by which a reference matches, and the best F1.
+
+    exact: the same scoring form; final: that of the last line; contains: the reference's words in a
+    row; else none. A missing prediction or no reference gives none and 0.
+    """
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    refs = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), lambda r: F.trim(r)), lambda r: r.isNotNull() & (r != ""))
+    whole, last = C.scoring_form(F.col("prediction")), C.scoring_form(C.final_line(F.col("prediction")))
+    held = pairs.select("id", whole.alias("whole"), last.alias("last"), F.transform(refs, C.scoring_form).alias("forms"))
+    named = F.filter("forms", lambda r: r != "")
+    rule = F.when(F.exists(named, lambda r: r == F.col("whole")), "exact").when(F.exists(named, lambda r: r == F.col("last")), "final").when(F.exists(named, lambda r: F.contains(spaced(F.col("whole")), spaced(r))), "contains")
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+
+    def f1(ref: Column) -> Column:
+        p, g = split(F.col("whole")), split(ref)
+        count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
+        same = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda n, w: n + F.least(count(p, w), count(g, w)))
+        return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
+
+    best = F.coalesce(F.round(F.array_max(F.transform("forms", f1)), 4), F.lit(0.0))
+    return held.select("id", F.coalesce(rule, F.lit("none")).alias("match"), F.when(F.col("whole").isNull(), 0.0).otherwise(best).alias("f1"))
+
+
 def score_summary(scored: DataFrame) -> DataFrame:
     """Totals and a row for each category, in one pass over grouping sets."""
     return scored.rollup("category").agg(F.grouping("category").alias("is_total"), F.count("*").alias("n"), F.sum("correct").alias("n_correct")).select("category", F.col("is_total").cast("int").alias("is_total"), "n", "n_correct")

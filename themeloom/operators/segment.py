@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, dealt over all of them; other scans as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0, gaps where repeats were), unit. The repeats of one document are dropped inside its array, so nothing is shuffled."""
+    """doc_id, pos (from 0, gaps where repeats were), unit.
+
+    Units are shuffled once, by document. All windows, groups and joins by document that follow keep
+    that partitioning, and branches of one plan share its exchange, so texts are split once.
+    """
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     parts = T.sentence_parts(F.coalesce("text", F.lit("")))
-    keyed = docs.select("doc_id", F.posexplode(parts).alias("pos", "unit"))
+    keyed = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(parts).alias("pos", "unit")).repartition("doc_id")
     first = Window.partitionBy("doc_id", F.lower("unit")).orderBy("pos")
     return keyed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 

@@ -138,13 +138,15 @@ TABLE: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
+    from .further import TABLE as FURTHER
     from .more import TABLE as MORE
 
-    return TABLE | MORE
+    return TABLE | MORE | FURTHER
 
 
 def oracle_sql() -> dict[str, str]:
+    from .further import SQL as FURTHER
     from .oracle import SQL
     from .oracle_more import SQL as MORE
 
-    return SQL | MORE
+    return SQL | MORE | FURTHER

@@ -37,7 +37,7 @@ def fewshot_case() -> str:
 TOKENS = WORDS.format("line")
 SIGNALS = f"g AS (SELECT conv_id, turn, {n_words(TXT)} AS n_words, length({TXT}) - length(replace({TXT}, '?', '')) AS questions, len(string_split({TXT}, chr(10))) AS lines, contains({TXT}, '@') AS addressed FROM conversations)"
 FIRED = SIGNALS + ", f AS (SELECT *, n_words > 200 AS a, questions > 0 AND NOT lines > 3 AS b, addressed OR n_words <= 3 AS c FROM g)"
-STARTS = [f"^(?:{'|'.join(T.JUNK_STARTS)})", *C.JUNK_INSIDE]
+STARTS = [f"^(?:{'|'.join(T.JUNK_STARTS)})", *T.JUNK_INSIDE]
 STOP = in_list([*T.QUERY_STOPWORDS, *C.ASKING_WORDS])
 NAME_EDGES = "^[.,;:!?()\\[\\]\"'“”‘’]+|[.,;:!?()\\[\\]\"'“”‘’]+$"
 JOINED = "(length(w) > 5 AND regexp_matches(w, '^\\p{L}{2,}(?:-\\p{L}{2,})+$'))"
@@ -64,7 +64,7 @@ SQL = {
  n AS (SELECT item_id, list_filter(ws, lambda w: {JOINED} OR (NOT (length(w) > 3 AND upper(w) = w AND lower(w) <> w) AND regexp_matches(w, '^\\p{{Lu}}'))) AS ws FROM r),
  l AS (SELECT item_id, list_transform(list_transform(ws, lambda w: lower(w)), lambda w: CASE WHEN {JOINED} THEN w ELSE {STRIP} END) AS ws FROM n)
  SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: w <> '' AND w NOT IN {in_list([*T.QUESTION_WORDS, *T.QUERY_STOPWORDS])}))), ',') AS names FROM l""",
-    "final_line": f"SELECT conv_id, turn, regexp_replace(trim(regexp_replace(coalesce(list_filter(list_transform(string_split({TXT}, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1], ''), '[*_`#]+', '', 'g')), '(?i)^(?:(?:the|my) )?(?:final )?answer(?: is)?\\s*[:\\-]?\\s*', '') AS line FROM conversations",
+    "final_line": f"SELECT conv_id, turn, regexp_replace(trim(regexp_replace(coalesce(list_filter(list_transform(string_split({TXT}, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1], ''), '[*_`#>]+', '', 'g')), '(?i)^(final\\s+answer|the\\s+answer\\s+is|answer\\s+is|answer)\\s*[:\\-]?\\s*', '') AS line FROM conversations",
     "format_age": "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm ago' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || 'h ago' ELSE floor(s / 86400)::BIGINT || 'd ago' END AS age FROM (SELECT event_id, value * 1000 AS s FROM events)",
     "budgets": "SELECT event_id, CASE WHEN b > 0 AND b <= 1 THEN round(b, 9) END AS budget FROM (SELECT event_id, CASE WHEN value > 1 THEN value / 100.0::DOUBLE ELSE value END AS b FROM events)",
     "rule_decisions": f"WITH {FIRED} SELECT conv_id, turn, concat_ws(',', CASE WHEN a THEN 'long' END, CASE WHEN b THEN 'asked' END, CASE WHEN c THEN 'named' END) AS fired, CASE WHEN b THEN 0.3::DOUBLE WHEN a THEN 0.1::DOUBLE END AS budget, CASE WHEN c THEN 'named' WHEN b THEN 'auto' END AS scope FROM f",

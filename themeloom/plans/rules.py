@@ -1,7 +1,7 @@
 """Rules over signal columns: an expression language compiled to Columns.
 
-``a > 3 and not (b == none or c)``: comparisons, ``and``, ``or``, ``not``, brackets, numbers, the
-words true, false, none, and names of signals. An ordering against nothing does not fire; equality
+``a > 3 and not (b == none or c)``: comparisons, ``and``, ``or``, ``not``, brackets, numbers (with a minus or without), the
+words true, false, none, null, and names of signals. An ordering against nothing does not fire; equality
 takes nothing as a value; a bare name is true if it is neither null, false, NaN nor 0. Rules are
 compiled once on the driver and run inside the plan.
 """
@@ -16,9 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEXER = re.compile(r"\s*(?:(?P<op><=|>=|==|!=|<|>)|(?P<bracket>[()])|(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*))")
+LEXER = re.compile(r"\s*(?:(?P<op><=|>=|==|!=|<|>)|(?P<bracket>[()])|(?P<number>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*))")
 ORDERINGS = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
-CONSTANTS = {"true": True, "false": False, "none": None}
+CONSTANTS = {"true": True, "false": False, "none": None, "null": None}
 DEPTH = 64
 
 

@@ -27,8 +27,10 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType = SAMP
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of whole plain-text files. Other kinds are refused by name; page texts come in as rows (see operators.pages)."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(F.lower("path").rlike(r"\.(?:txt|md|rst|text)$"))
+    """path, text of whole plain-text files. A file of another kind is refused by name when it is read; page texts come in as rows (see operators.pages)."""
+    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    known = F.lower("path").rlike(r"\.(?:txt|md|rst|text)$")
+    return found.withColumn("text", F.when(known, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no plain text: "), F.col("path")))))
 
 
 def normalised(records: DataFrame) -> DataFrame:
