@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents, so each reads what its predecessor wrote. ``run`` applies them to documents.
+
+Defined cases: null and empty texts have no word, so the quality rules drop them; repeated rows are
+judged each, are one node in near-dedup (which keeps the rows of the least id) and stand in the
+mixture each; ties are settled by the operators as their docstrings say; very long texts pass whole;
+other columns are carried along by place until packing, so names may clash; an empty table, or one of
+which a stage drops everything, gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,8 +46,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: Trained scores and tokenizers are beyond SQL. Tests hold the operators, not these stages, against plain versions;
-#: of the stages they check the columns and near-dedup's survivors in one small table, and they do not execute run().
+#: Trained scores and tokenizers are beyond SQL. A test runs all of it and holds what each stage keeps, and the packed ids, against plain versions.
 ORACLE_SQL = None
 
 
@@ -50,5 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = scratch.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(docs)  # what the stage before wrote is not read again
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
