@@ -1,20 +1,22 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word in both directions and gives every byte position a
-distribution over the languages; it is trained here in numpy by backpropagation through time. A
-document's probabilities pool those of all positions of its whole text (their mean). Its state is
-reset at each word, so positions of a word depend on that word alone and equal words are worked out
-once a worker: what is kept for a word is the sum of its positions' distributions.
+The network reads a text's bytes in both directions and gives every byte position a distribution
+over the languages; it is trained here in numpy by backpropagation through time. A document's
+probabilities pool those of all letter positions of its whole text (their mean).
 
-A word is a run of ASCII letters and non-ASCII bytes; letters A-Z are read as a-z. Words of over
-``SPAN`` bytes are read in spans of that many.
+Letters A-Z are read as a-z, and a run of anything that is neither an ASCII letter nor a non-ASCII
+byte as one blank. The state runs on across words, over spans of ``SPAN`` bytes that are read side
+by side as the rows of one matrix; a span begins with an empty state, so a text of any length takes
+bounded memory.
 
 Training takes a bounded sample: about ``SAMPLE_DOCS`` documents of each language, picked by a hash,
-and ``SAMPLE_WORDS`` words at most from anywhere in each. Texts, not ids or sources, are its input.
+and ``SAMPLE_SPANS`` spans at most from anywhere in each; of more than ``LABELS`` languages the most
+frequent. Texts, not ids or sources, are its input.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled
 document every text is ``und``; equal probabilities go to the first language in code point order;
-repeated rows are predicted each; an empty table gives an empty result.
+very long texts are read whole, span by span; repeated rows are predicted each; columns besides id,
+text and lang are not read, so their names may clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,24 +30,24 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, prepare, text_of
 
-SAMPLE_DOCS, SAMPLE_WORDS, SPAN = 300, 60, 24
-EMBED, HIDDEN, EPOCHS, BATCH, RATE, SEED = 12, 12, 3, 256, 0.02, 7
-#: Words that a worker keeps.
-CACHE = 300_000
+SAMPLE_DOCS, SAMPLE_SPANS, SPAN, LABELS = 300, 8, 64, 1000
+EMBED, HIDDEN, STEPS, BATCH, RATE, SEED = 12, 12, 200, 128, 0.02, 7
+#: Spans that are read side by side.
+ROWS = 2048
+BLANK = 32
 
-_FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
+_FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalpha() and c < 128 or c >= 128 else BLANK for c in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(_FOLD).split()
+def folded(text: str) -> bytes:
+    return b" ".join(text.encode().translate(_FOLD).split())
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes as rows (0 past the end) and lengths."""
-    n = np.array([len(w) for w in words], np.int64)
-    width = int(n.max(initial=1))
-    flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8)
-    return flat.reshape(len(words), width), n
+def spans_of(raw: bytes) -> np.ndarray:
+    """Bytes as rows of SPAN, 0 past the end."""
+    flat = np.zeros(-(-len(raw) // SPAN) * SPAN, np.uint8)
+    flat[: len(raw)] = np.frombuffer(raw, np.uint8)
+    return flat.reshape(-1, SPAN)
 
 
 def _sigmoid(x):
@@ -91,11 +93,12 @@ class Network:
         return s / s.sum(axis=2, keepdims=True), both, (tape_f, tape_b)
 
     def gradients(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy over live positions, by backpropagation through time."""
+        """Of the mean cross-entropy over letter positions, by backpropagation through time."""
         q, both, tapes = self.positions(x, live, True)
+        letters = live * (x != BLANK)
         delta = q.copy()
         delta[np.arange(len(y)), :, y] -= 1
-        delta *= live[:, :, None] / max(live.sum(), 1)
+        delta *= letters[:, :, None] / max(letters.sum(), 1)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         g["V"], g["c"] = np.einsum("nth,ntk->hk", both, delta), delta.sum(axis=(0, 1))
         up, h_n, width = delta @ self.p["V"].T, self.hidden, x.shape[1]
@@ -121,42 +124,54 @@ class Network:
             g["E"] += byte @ self.p[f"W{d}"].T
         return g
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> None:
+    def train(self, x: np.ndarray, labels: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> None:
+        """On spans, each with its document's label: a fixed number of steps, through all spans again and again."""
         rng = np.random.default_rng(seed)
-        x, n = padded(words)
-        live = (np.arange(x.shape[1]) < n[:, None]).astype(np.float32)
-        first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for e in range(epochs):
-            order = rng.permutation(len(words))
-            order = order[np.argsort(n[order] // 4 + rng.random(len(order)) * 0.5, kind="stable")]
-            batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
-            for i in rng.permutation(len(batches)):
-                part, step = batches[i], step + 1
-                width = int(n[part].max())
-                g = self.gradients(x[part, :width], live[part, :width], labels[part])
-                for k, v in g.items():
-                    v = np.clip(v, -1, 1)
-                    first[k] += 0.1 * (v - first[k])
-                    second[k] += 0.01 * (v * v - second[k])
-                    self.p[k] -= rate / (1 + e) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
-
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """Of each word: the sum of its positions' distributions, and how many they are."""
-        spans = [(i, w[a : a + SPAN]) for i, w in enumerate(words) for a in range(0, len(w), SPAN)]
-        spans.sort(key=lambda s: len(s[1]))
-        out = np.zeros((len(words), len(self.labels) + 1), np.float32)
-        for lo in range(0, len(spans), 1024):
-            part = spans[lo : lo + 1024]
-            x, n = padded([w for _, w in part])
-            live = (np.arange(x.shape[1]) < n[:, None]).astype(np.float32)
-            q, _, _ = self.positions(x, live)
-            at = [i for i, _ in part]
-            np.add.at(out, at, np.concatenate([(q * live[:, :, None]).sum(axis=1), n[:, None]], axis=1).astype(np.float32))
-        return out
-
-
-class _Words:
-    """A sample's words, from anywhere in the text, for training."""
+        live = (x != 0).astype(np.float32)
+        first, second, order = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, []
+        for step in range(1, steps + 1):
+            while len(order) < min(BATCH, len(x)):
+                order.extend(rng.permutation(len(x)))
+            part, order = order[:BATCH], order[BATCH:]
+            for k, v in self.gradients(x[part], live[part], labels[part]).items():
+                v = np.clip(v, -1, 1)
+                first[k] += 0.1 * (v - first[k])
+                second[k] += 0.01 * (v * v - second[k])
+                self.p[k] -= rate / (1 + 3 * step / steps) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+
+    def pooled(self, x: np.ndarray) -> np.ndarray:
+        """Of each span: the sum of its letter positions' distributions, and how many they are."""
+        p, h_n, (n, width), k = self.p, self.hidden, x.shape, len(self.labels)
+        across, scores = np.ascontiguousarray(x.T), np.zeros((width, n, k), np.float32)
+        scores += p["c"]
+        for d, out in (("f", p["V"][:h_n]), ("b", p["V"][h_n:])):
+            table = p["E"] @ p[f"W{d}"] + p[f"b{d}"]
+            gates, fresh = np.ascontiguousarray(-table[:, : 2 * h_n]), np.ascontiguousarray(table[:, 2 * h_n :])
+            u, un, h = -p[f"U{d}"], p[f"Un{d}"], np.zeros((n, h_n), np.float32)
+            for t in range(width) if d == "f" else range(width - 1, -1, -1):
+                g = h @ u
+                g += gates[across[t]]
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                c = (g[:, h_n:] * h) @ un
+                c += fresh[across[t]]
+                np.tanh(c, out=c)
+                c -= h
+                c *= g[:, :h_n]
+                h += c
+                if d == "b" and not across[t].all():
+                    h *= (across[t] != 0)[:, None]  # a span's end is its beginning in this direction
+                scores[t] += h @ out
+        scores -= scores.max(axis=2, keepdims=True)
+        np.exp(scores, out=scores)
+        letters = (across != 0) & (across != BLANK)
+        scores *= (letters / scores.sum(axis=2))[:, :, None]
+        return np.concatenate([scores.sum(axis=0), letters.sum(axis=0)[:, None]], axis=1)
+
+
+class _Sampled:
+    """A sample's spans, from anywhere in the text, for training."""
 
     def __init__(self, most: int):
         self.most = most
@@ -164,46 +179,42 @@ class _Words:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             picked = []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                w = words_of(text)
-                rng = np.random.default_rng(len(text) * 31 + i)
-                picked.append([x[:SPAN] for x in (w if len(w) <= self.most else [w[j] for j in sorted(rng.choice(len(w), self.most, replace=False))])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b" ".join(w) for w in picked], pa.binary())], names=["label", "words"])
+            for text in b.column(1).to_pylist():
+                x = spans_of(folded(text))
+                if len(x) > self.most:
+                    x = x[np.sort(np.random.default_rng(len(text)).choice(len(x), self.most, replace=False))]
+                picked.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(picked, pa.binary()), b.column(2)], names=["label", "spans", "h"])
 
 
-def sample_words(labelled: DataFrame, docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS) -> list[tuple[str, bytes]]:
+def sample_spans(labelled: DataFrame, docs_each: int = SAMPLE_DOCS, spans_each: int = SAMPLE_SPANS) -> list[tuple[str, bytes]]:
     """From rows of label, key and text: about docs_each of every label, by a hash of the key.
 
     The shares come from a count over all rows; the bound on rows that reach the driver is held by
     a top-k besides, as many rows may have one key.
     """
     h = F.xxhash64(F.lit("lang"), F.col("key"))
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()
+    if not counts:
+        return []
+    known = labelled.sparkSession.createDataFrame([(r.label, r.n) for r in counts], "label string, n long")
     share = F.lit(float(1 << 63)) * (F.lit(2.0) * docs_each / F.col("n") - 1)
-    picked = labelled.join(F.broadcast(counts.limit(10_000)), "label").filter(h <= share)
-    most = docs_each * 4 * max(1, counts.limit(10_000).count())
-    found = picked.select("label", "text", h.alias("h")).mapInArrow(_Sampled(words_each), "label string, words binary, h long").orderBy("h", "words").limit(most)
-    return [(r.label, bytes(r.words)) for r in found.collect()]
-
-
-class _Sampled(_Words):
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for out in super().__call__(iter([b])):
-                yield pa.RecordBatch.from_arrays([*out.columns, b.column(2)], names=["label", "words", "h"])
+    picked = labelled.join(F.broadcast(known), "label").filter(h <= share)
+    found = picked.select("label", "text", h.alias("h")).mapInArrow(_Sampled(spans_each), "label string, spans binary, h long").orderBy("h", "spans").limit(docs_each * 4 * len(counts))
+    return [(r.label, bytes(r.spans)) for r in found.collect()]
 
 
 def fit(labelled: DataFrame) -> Network | None:
     """Trains on rows of label, key and text; labels that are null are no use."""
     prepare(labelled.sparkSession)
-    rows = sample_words(labelled.filter("label is not null"))
-    pairs = sorted((w, label) for label, words in rows for w in words.split())
-    labels = sorted({label for _, label in pairs})
+    rows = sorted((label, raw) for label, raw in sample_spans(labelled.filter("label is not null")) if raw)
+    labels = sorted({label for label, _ in rows})
     if not labels:
         return None
-    at = {x: i for i, x in enumerate(labels)}
     net = Network(labels)
-    net.train([w for w, _ in pairs], np.array([at[x] for _, x in pairs], np.int64))
+    at = {x: i for i, x in enumerate(labels)}
+    x = np.frombuffer(b"".join(raw for _, raw in rows), np.uint8).reshape(-1, SPAN)
+    net.train(x, np.repeat([at[label] for label, _ in rows], [len(raw) // SPAN for _, raw in rows]))
     return net
 
 
@@ -212,62 +223,21 @@ class _Predict:
         self.net = net
 
     def __call__(self, doc_id, texts):
-        state = _state(self.net)
+        net = self.net.value
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        for lo in range(0, len(texts), 250):
-            held = [words_of(t) for t in texts[lo : lo + 250]]
-            sums = state.sums(held)
-            for i, s in enumerate(sums):
-                if s[-1] and any(c.isalpha() for c in texts[lo + i]):
-                    k = int(np.argmax(s[:-1]))
-                    lang[lo + i], score[lo + i] = state.net.labels[k], min(1.0, float(s[k] / s[-1]))
+        rows = [spans_of(folded(t)) for t in texts]
+        x, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+        sums = np.zeros((len(texts), len(net.labels) + 1))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        for lo in range(0, len(x), ROWS):
+            np.add.at(sums, owner[lo : lo + ROWS], net.pooled(x[lo : lo + ROWS]))
+        for i, s in enumerate(sums):
+            if s[-1] and any(c.isalpha() for c in texts[i]):
+                k = int(np.argmax(s[:-1]))
+                lang[i], score[i] = net.labels[k], min(1.0, float(s[k] / s[-1]))
         return [doc_id, lang, score]
 
 
-class _State:
-    def __init__(self, net: Network):
-        self.net, self.at, self.rows = net, {}, np.zeros((1024, len(net.labels) + 1), np.float32)
-
-    def sums(self, held: list[list[bytes]]) -> np.ndarray:
-        new: set[bytes] = set()
-        for h in held:
-            new.update(w for w in h if w not in self.at)
-        if len(self.at) + len(new) > CACHE:
-            self.at = {}
-            new = {w for h in held for w in h}
-        if new:
-            part, n = list(new), len(self.at)
-            if n + len(part) > len(self.rows):
-                self.rows = np.concatenate([self.rows[:n], np.zeros((n + len(part), self.rows.shape[1]), np.float32)])
-            self.rows[n : n + len(part)] = self.net.pooled(part)
-            self.at.update(zip(part, range(n, n + len(part))))
-        out = np.zeros((len(held), self.rows.shape[1]))
-        for i, h in enumerate(held):
-            if h:
-                out[i] = self.rows[np.fromiter(map(self.at.__getitem__, h), np.int64, len(h))].sum(axis=0, dtype=np.float64)
-        return out
-
-
-_states: dict[int, _State] = {}
-
-
-def _state(shared) -> _State:
-    """This worker's cache for a broadcast network."""
-    if shared.id not in _states:
-        _states.clear()
-        _states[shared.id] = _State(shared.net.value)
-    return _states[shared.id]
-
-
-class _Shared:
-    def __init__(self, spark, net: Network):
-        self.net = spark.sparkContext.broadcast(net)
-        self.id = self.net._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"net": self.net, "id": self.id}
-
-
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
@@ -279,7 +249,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     if net is None:
         return d.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return arrow_pass(d, ["doc_id", "text"], _Predict(_Shared(spark, net)), "doc_id long, lang_pred string, score double")
+    return arrow_pass(d, ["doc_id", "text"], _Predict(spark.sparkContext.broadcast(net)), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
