@@ -1,10 +1,12 @@
 """Licence scans by a positional index of rare tokens.
 
-Templates (licence notices and key phrases) are indexed by their rarest words: inverse document
-frequencies come from a pass over all texts, and each template is posted under its ``ANCHORS``
-highest. A file's words are looked up there; a hit of a template's word at template place t and
-file place f votes for a start at f - t, and postings that agree on the relative position make a
-candidate. A candidate counts if the template's mandatory key phrases stand word for word in the
+Templates (licence notices and key phrases) are indexed by the places of their rare words: inverse
+document frequencies come from a pass over all texts, and a word is posted if it is in one of
+``RARE`` documents at most, or among the ``ANCHORS`` rarest of its template. So the words of a file
+that are looked up are its licence words of highest frequency rank, all of them, and a notice is
+found by those that stand in it whichever others were altered. A hit of a template's word at
+template place t and file place f votes for a start at f - t, and postings that agree on the
+relative position make a candidate. A candidate counts if the template's mandatory key phrases stand word for word in the
 stretch, and enough of its words are at their places (``SLACK`` words of drift allowed).
 
 Base phrases are templates that are their own key phrase, so their places come out of the same
@@ -12,7 +14,8 @@ index; all their places are counted.
 
 Defined cases: null text is empty and has no words; without a place, first_word and last_word are
 null and labels empty; an empty table gives an empty result; repeated rows are scanned each;
-equal frequencies go by word, equal coverage by the earlier start.
+equal frequencies go by word, equal coverage by the earlier start; very long texts are read whole, one
+at a time; columns besides id and text are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ NOTICES = (
     ("cc-by-nd", "licensed under CC BY-ND 4.0", ("under cc by nd 4 0",)),
     ("proprietary", "All rights reserved", ("all rights reserved",)),
 )
-ANCHORS, SLACK, COVERAGE = 3, 3, 0.6
+ANCHORS, RARE, SLACK, COVERAGE = 3, 100, 3, 0.6
 
 #: Bytes that no word has become blanks; A-Z are lowered.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
@@ -79,14 +82,15 @@ def _finds(words: list[bytes], phrase: list[bytes], lo: int, hi: int) -> bool:
 
 
 class Index:
-    """Postings of the templates' rarest words: word -> [(template, place)]."""
+    """Postings of the templates' rare words: word -> [(template, place)]."""
 
     def __init__(self, frequency: dict[bytes, int], documents: int, made: list[Template] | None = None):
         self.made = templates() if made is None else made
         idf = lambda w: math.log((documents + 1) / (frequency.get(w, 0) + 1))
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.made):
-            for w in sorted(set(t.words), key=lambda w: (-idf(w), w))[: 1 if t.base else ANCHORS]:
+            ranked = sorted(set(t.words), key=lambda w: (-idf(w), w))
+            for w in ranked[:1] if t.base else ranked[:ANCHORS] + [w for w in ranked[ANCHORS:] if frequency.get(w, 0) * RARE <= documents]:
                 for place in (i for i, x in enumerate(t.words) if x == w):
                     self.postings.setdefault(w, []).append((k, place))
         self.absent = set(self.postings).isdisjoint
@@ -160,7 +164,7 @@ class _Frequencies:
 
 
 def build_index(docs: DataFrame, text_col: str = "text", made: list[Template] | None = None) -> Index:
-    """Counts in how many documents each word of the templates is (a row a word and task), and posts the rarest."""
+    """Counts in how many documents each word of the templates is (a row a word and task), and posts the rare ones."""
     prepare(docs.sparkSession)
     made = templates() if made is None else made
     vocabulary = frozenset(w for t in made for w in t.words)
