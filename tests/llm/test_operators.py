@@ -166,13 +166,14 @@ def test_ablations_follow_from_bits(spark, docs):
 def test_gradients_are_those_of_the_loss():
     net = language_id.Network(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, n = language_id.padded([b"abc", b"hello", b"zz"])
-    live, y = (np.arange(x.shape[1]) < n[:, None]).astype(float), np.array([0, 1, 2])
+    x = np.concatenate([language_id.spans_of(w)[:, :7] for w in (b"abc", b"hel lo", b"zz")])
+    live, y = (x != 0).astype(float), np.array([0, 1, 2])
+    letters = live * (x != 32)
     g = net.gradients(x, live, y)
 
     def loss():
         q, _, _ = net.positions(x, live)
-        return -(np.log(q[np.arange(3), :, y]) * live).sum() / live.sum()
+        return -(np.log(q[np.arange(3), :, y]) * letters).sum() / letters.sum()
 
     for k, v in net.p.items():
         at = (97, 3) if k == "E" else tuple(s // 2 for s in v.shape)
@@ -185,6 +186,39 @@ def test_gradients_are_those_of_the_loss():
         assert abs((hi - low) / 2e-3 - g[k][at]) < 2e-3, k
 
 
+def plain_state_run(net, raw, d):
+    """One direction over one span, position by position, from the definition of the gates."""
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, np.zeros(net.hidden)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    states = [None] * len(raw)
+    for t in range(len(raw)) if d == "f" else reversed(range(len(raw))):
+        a = p["E"][raw[t]] @ p[f"W{d}"] + p[f"b{d}"]
+        gates = sigmoid(a[: 2 * net.hidden] + h @ p[f"U{d}"])
+        z, r = gates[: net.hidden], gates[net.hidden :]
+        h = (1 - z) * h + z * np.tanh(a[2 * net.hidden :] + (r * h) @ p[f"Un{d}"])
+        states[t] = h
+    return states
+
+
+def test_language_scores_equal_a_plain_network(spark, docs):
+    net = language_id.fit(docs.select(F.col("lang").alias("label"), F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = [r for r in docs.orderBy("n_chars").limit(40).collect()] + [docs.orderBy(F.desc("n_chars")).first()]
+    got = {r.doc_id: r for r in language_id.predict(docs.sparkSession.createDataFrame(rows), net).collect()}
+    for row in rows:
+        raw, total, n = language_id.folded(row.text or ""), np.zeros(len(net.labels)), 0
+        for lo in range(0, len(raw), language_id.SPAN):
+            part = raw[lo : lo + language_id.SPAN]
+            for f, b, byte in zip(plain_state_run(net, part, "f"), plain_state_run(net, part, "b"), part):
+                if byte != 32:
+                    s = np.exp(np.concatenate([f, b]) @ net.p["V"] + net.p["c"])
+                    total, n = total + s / s.sum(), n + 1
+        if n:
+            assert got[row.doc_id].score == pytest.approx(total.max() / n, abs=1e-3)
+            assert total.max() - total[net.labels.index(got[row.doc_id].lang_pred)] < 1e-3 * n
+        else:
+            assert (got[row.doc_id].lang_pred, got[row.doc_id].score) == ("und", 0)
+
+
 def test_language_of_held_out_documents(docs):
     truth = {r.doc_id: r.lang for r in docs.collect()}
     rows = [r for r in language_id.identify(docs).collect() if r.held_out]
@@ -332,3 +366,171 @@ def test_pipeline_stages_keep_the_columns(spark, data):
         out = stage(spark, docs, data)
         assert out.columns == docs.columns
     assert set(queries.queries()) >= {"op1_license_scan", "op10_packing"}
+
+
+def test_licenses_equal_a_plain_scan(spark):
+    """Base phrases wherever their words stand in a row, in texts of all sorts of bytes; notices with altered rare words."""
+    import re
+
+    rng = random.Random(2)
+    parts = ["mit", "MIT", "license", "License", "apache", "general", "public", "the", "x", "é", "-", "9", "\n", " ", "_", "\x7f", "ß", "/"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    notice = license_scan.NOTICES[0][1]
+    for gone in ("sublicense", "restriction", "documentation", "limitation", "software"):
+        texts.append("intro words " + notice.lower().replace(gone, "something") + " and more")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        at = sorted((k, label) for phrase, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split())
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None)
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+    assert all("mit" in got[i].labels.split(",") for i in range(3000, len(texts)))
+
+
+def test_toxicity_scores_equal_a_plain_noisy_or(spark, docs, data):
+    import re
+
+    labels = table(spark, data, "labels")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        stays = 1.0
+        for s in re.split("[.!?\n]", (r.text or "").lower()):
+            words = set(re.sub("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]", " ", s).encode().split())
+            if words:
+                z = model.bias
+                for w in words:
+                    t = w.decode()
+                    for part in ["=" + t, *("^" + t[:k] for k in range(3, 7) if len(t) >= k)]:
+                        z += model.weights.get(int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little") >> 1, 0.0)
+                stays *= 1 - 1 / (1 + np.exp(-z))
+        assert got[r.doc_id] == pytest.approx(1 - stays if model.constant is None else model.constant, abs=1e-9)
+
+
+def plain_threads(messages):
+    """turn -> (reply_to, n_linked, root_turn, depth) of one conversation, message by message."""
+    import re
+
+    plain = lambda t: re.sub("[ \t\r\n]+", " ", t).strip(" ").lower()
+    own, quoted = {}, {}
+    for turn, text in messages:
+        lines = (text or "").split("\n")
+        mine = [x for x in lines if not re.match("[ \t]*>", x)]
+        body = re.sub("\n{3,}", "\n\n", "\n".join(mine).strip())
+        own[turn] = {plain(x) for x in body.split("\n")} | {plain(body)}
+        quoted[turn] = lines
+    out = {}
+    for turn, lines in quoted.items():
+        marked = [(re.match("(?:[ \t]*>)*", x)[0].count(">"), plain(re.sub("^(?:[ \t]*>)+[ \t]?", "", x))) for x in lines]
+        items, runs = [(t, level) for level, t in marked if level], []
+        for level, t in marked:
+            if runs and level and runs[-1][0] == level:
+                runs[-1] = (level, (runs[-1][1] + " " + t).strip(" "))
+            else:
+                runs.append((level, t))
+        items += [(t, level) for level, t in runs if level]
+        wanted = {}
+        for t, level in items:
+            if t:
+                wanted[t] = min(level, wanted.get(t, level))
+        votes = defaultdict(int)
+        for t, level in wanted.items():
+            first = min((k for k in own if t in own[k]), default=None)
+            if first is not None and first < turn:
+                votes[level, first] += 1
+        if votes:
+            best = max(votes, key=lambda v: (-v[0], votes[v], v[1]))
+            out[turn] = (best[1], sum(votes.values()))
+    full = {}
+    for turn in quoted:
+        root, depth = turn, 0
+        while root in out:
+            root, depth = out[root][0], depth + 1
+        full[turn] = (*out.get(turn, (None, 0)), root, depth)
+    return full
+
+
+def test_random_threads_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    rows = []
+    for conv in range(60):
+        said = []
+        for turn in range(rng.randrange(2, 12)):
+            lines = [rng.choice(["Yes.", "No  way", "It rains", f"Line {rng.randrange(30)} of it", "", "so"]) for _ in range(rng.randrange(1, 4))]
+            for _ in range(rng.randrange(3)):
+                if said:
+                    old = rng.choice(said).split("\n")
+                    lo = rng.randrange(len(old))
+                    lines[rng.randrange(len(lines) + 1) : 0] = [rng.choice(["> ", ">", " > "]) + x.upper() if rng.random() < 0.3 else "> " + x for x in old[lo : lo + rng.randrange(1, 4)]]
+            said.append("\n".join(lines))
+            rows.append((conv, turn, "user", said[-1]))
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_linked, r.root_turn, r.depth) for r in chat_format.chat_turns(d).collect()}
+    want = {(c, t): v for c in range(60) for t, v in plain_threads([(r[1], r[3]) for r in rows if r[0] == c]).items()}
+    assert got == want and sum(v[0] is not None for v in want.values()) > 50
+
+
+def test_packing_ids_of_random_texts_equal_the_librarys():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path(packing.MODEL))
+    rng = random.Random(4)
+    bits = ["a", "B", "İ", "क़", "é", "e\u0301", "ß", "ﬁ", "Σ", "ς", "1", "12", ".", ",", "'s", "'S", "!", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\n", "\t", " ", "  ", "한", "中文", "🙂", "\u200b", "\u00a0", "word", "The", "don't", "x.y", "_", "\x1c", "𝐀", "ǅ", "Ⅻ"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 25))) for _ in range(5000)]
+    for text, raw in zip(texts, packing.token_bytes(pa.array(texts)), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_odd_rows_have_their_defined_values(spark, odd, labels):
+    by = lambda rows, *cols: sorted((tuple(r[c] for c in ("doc_id", *cols)) for r in rows.collect()), key=lambda t: (t[0] is not None, t[0] or 0, str(t)))
+    assert by(license_scan.scan(odd), "n_words", "n_base", "labels") == [(None, 0, 0, ""), (1, 0, 0, ""), (1, 0, 0, ""), (2, 2, 0, ""), (3, 2, 0, ""), (4, 60_000, 0, ""), (5, 1, 0, ""), (6, 4, 0, "")]
+    assert by(near_dedup.near_duplicates(odd), "n_shingles", "component_id", "kept") == [(None, 0, None, True), (1, 0, 1, True), (1, 0, 1, True), (2, 1, 2, True), (3, 1, 2, False), (4, 1, 4, True), (5, 1, 5, True), (6, 1, 6, True)]
+    rows = quality_rules.apply_policy(quality_rules.ledger(odd))
+    assert by(rows, "n_words", "n_dup_lines", "n_repeat_words", "kept") == [(None, 0, 0, 0, False), (1, 0, 0, 0, False), (1, 0, 0, 0, False), (2, 2, 0, 0, False), (3, 2, 0, 0, False), (4, 60_000, 0, 60_000, False), (5, 2, 0, 0, False), (6, 5, 2, 0, False)]
+    assert [t[:2] for t in by(language_id.identify(odd), "lang_pred")] == [(None, "und"), (1, "und"), (1, "und"), (2, "en"), (3, "en"), (4, "en"), (5, "und"), (6, "en")]
+    assert by(mixing.mix_plan(odd), "size", "source") == [(None, 0, None), (1, 0, "s"), (1, 0, "s"), (2, 2, None), (3, 2, "s"), (4, 60_000, "s"), (5, 2, "t"), (6, 5, "t")]
+    assert all(s == 0 for _, s in by(toxicity.classify(odd, labels), "score")[:3])
+    assert [t[1:] for t in by(token_counts.count_tokens(odd), "n_bytes", "n_tokens", "over_limit")][:3] == [(0, 0, False)] * 3
+    prints = by(fingerprints.fingerprints(odd), "n_chars", "fingerprint", "near_next")
+    assert [t[1] for t in prints] == [0, 0, 0, 3, 3, 300_000, 6, 9] and prints[3][2] == prints[4][2] and prints[3][3] == 1.0
+    pieces = by(packing.pack(odd), "start", "length", "doc_tokens")
+    assert pieces[:3] == [(None, 0, 1, 1), (1, 0, 1, 1), (1, 0, 1, 1)] and sum(t[2] for t in pieces if t[0] == 4) == 60_001
+    talk = spark.createDataFrame([(None, None, None, None), (1, 0, "user", "a b"), (1, 0, "user", "a b"), (1, 1, "x", "> a b\n" + "word " * 50_000), (1, 2, "x", "")], "conv_id long, turn long, role string, text string").selectExpr("*", "'h' hash", "1 level", "2 first_turn", "3 body")
+    found = sorted((r.conv_id or 0, r.turn or 0, r.reply_to, r.n_linked, len(r.body)) for r in chat_format.chat_turns(talk).collect())
+    assert found == [(0, 0, None, 0, 0), (1, 0, None, 0, 3), (1, 0, None, 0, 3), (1, 1, 0, 1, 249_999), (1, 2, None, 0, 0)]
+
+
+def test_the_pipeline_equals_its_stages_done_plainly(spark, data):
+    """Every stage on its predecessor's rows: plain decisions, copies of the mixture, and every id of every copy packed once."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    clean = {r.doc_id for r in toxicity.classify(docs, labels).collect() if r.score < 0.5}
+    good = set()
+    for k in clean:
+        m = quality_rules.measure([texts[k]])
+        w, n_words = {x: int(v[0]) for x, v in m.items()}, int(m["n_words"][0])
+        letters, lines = w["n_upper"] + w["n_lower"], w["n_lines"]
+        bad = n_words < 10 or 100 * w["n_repeat_words"] > 20 * n_words or 10 * w["n_symbols"] > 3 * n_words or 2 * w["n_dup_lines"] > lines
+        bad = bad or w["word_chars"] > 15 * n_words or w["word_chars"] < 2 * n_words or (letters >= 40 and w["n_upper"] > w["n_lower"]) or 5 * w["n_bangs"] > n_words
+        if not bad:
+            good.add(k)
+    kept = {k for k, (_, c) in components({k: texts[k] for k in good}).items() if k == c}
+    copies = {r.doc_id: r.copies for r in mixing.mix_plan(docs.filter(F.col("doc_id").isin(*kept))).collect()}
+    tok = Tokenizer.from_file(tokenizer_path(packing.MODEL))
+    rows, seqs = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, data).collect():
+        rows[r.doc_id].append(r)
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert {k: sum(r.start == 0 for r in v) for k, v in rows.items()} == {k: n for k, n in copies.items() if n}
+    for k, v in rows.items():
+        n = len(tok.encode(texts[k], add_special_tokens=False).ids) + 1
+        assert {r.doc_tokens for r in v} == {n} and sum(r.length for r in v) == n * copies[k]
+    for parts in seqs.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= packing.WINDOW

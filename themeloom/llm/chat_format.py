@@ -15,7 +15,8 @@ messages have or quote gives one row, not pairs; no conversation is collected an
 Defined cases: a null text has no lines and an empty body; a message without linked quotes starts a
 thread of its own place in the main line (root_turn is its turn); quotes of nothing known are
 dropped from the body all the same; null conv_ids are one conversation; rows that repeat a turn are
-each given; other columns are not read; an empty table gives an empty result.
+each given; very long texts are parsed whole; other columns are not read, so their names may clash;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,9 +83,11 @@ def threads(links: DataFrame, scratch: Scratch) -> DataFrame:
         up = at.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("root_turn").alias("_root"), F.col("depth").alias("_depth"))
         step = at.join(up, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("root_turn") == F.col("_turn")), "left")
         new = scratch.cut(step.select("conv_id", "turn", "reply_to", "n_linked", F.coalesce("_root", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_root").isNotNull().alias("moved")), "links")
+        scratch.drop(at)
         if new.filter("moved").isEmpty():
             return new.drop("moved")
-        at = new.drop("moved")
+        path, at = new._scratch_path, new.drop("moved")
+        at._scratch_path = path
 
 
 def chat_turns(messages: DataFrame) -> DataFrame:

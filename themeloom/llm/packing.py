@@ -8,8 +8,8 @@ segment tree over remaining capacity. A shard leaves at most a few windows part
 under a thousandth of its tokens.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; an empty table gives
-an empty result; repeated rows are packed each; columns besides id and text are not read. Ties in
-length go by doc_id, then start.
+an empty result; repeated rows are packed each; columns besides id and text are not read. Very
+long texts are cut into windows, so no piece is larger than one. Ties in length go by doc_id, then start.
 """
 
 from __future__ import annotations

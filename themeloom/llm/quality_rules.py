@@ -4,7 +4,8 @@ One pass evaluates every rule on every whole text and stores the measurements an
 a rule. Policies are masks over those bits with a version, so applying another policy, or asking
 what a rule costs, reads the ledger and never the texts.
 
-Defined cases: a null text has no words, so it fails ``few_words``; an empty table gives an empty
+Defined cases: a null text has no words, so it fails ``few_words``; very long texts are measured whole; columns besides id and text are not read (``keep`` carries
+them along by place, so names may clash); an empty table gives an empty
 ledger; repeated rows and ties are judged row by row; other columns of the input are not read.
 """
 

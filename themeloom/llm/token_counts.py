@@ -10,7 +10,8 @@ summary; only those summaries, never pre-tokens of all texts, are shuffled. Tier
 each worker, emptied when it is full; what neither holds is encoded. Neither tier changes a result.
 
 Defined cases: null or empty text has 0 tokens; an empty table gives an empty result; repeated rows
-are counted each; columns besides id and text are not read.
+are counted each; very long texts are counted whole, line by line; columns besides id and text are
+not read, so their names may clash.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Scores use whole texts.
 Defined cases: a null or empty text has no sentence and the score 0; without documents of both
 labels every score is the share of label 1 in what there is (0 without any), a constant; null
 labels are no use; a document with several labels counts with each; repeated rows are scored each;
-an empty table gives an empty result.
+very long texts are scored whole, sentence by sentence; columns besides id and text are not read
+(``keep`` carries them along by place, so names may clash); an empty table gives an empty result.
 """
 
 from __future__ import annotations
