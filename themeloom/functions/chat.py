@@ -14,14 +14,17 @@ URL_TAIL = r"(?i)(?:https?://|www\.)(?:\S*[^\s).,;:\]]([).,;:\]]*)|([).,;:\]]+))
 URL = r"(?i)https?://\S+|www\.\S+"
 
 # Words that only acknowledge.
-ACKNOWLEDGEMENTS = "yes yeah yep no nope sure ok okay correct right agreed first second third one two option that this".split()
+ACKNOWLEDGEMENTS = (
+    "yes", "yeah", "yep", "no", "nope", "sure", "ok", "okay", "correct", "right", "agreed", "first", "second", "third", "one", "two", "option",
+    "that", "this",
+)
 # Asking words that are no content of a query.
 ASKING_WORDS = (
-    "describe describes described describing tell tells told telling say says said saying "
-    "happen happens happened happening call calls called calling name names named naming "
-    "passage text document article story context mention mentions mentioned according based "
-    "follow follows followed following main thing things way ways like given show shows shown showing"
-).split()
+    "describe", "describes", "described", "describing", "tell", "tells", "told", "telling", "say", "says", "said", "saying", "happen", "happens",
+    "happened", "happening", "call", "calls", "called", "calling", "name", "names", "named", "naming", "passage", "text", "document", "article",
+    "story", "context", "mention", "mentions", "mentioned", "according", "based", "follow", "follows", "followed", "following", "main", "thing",
+    "things", "way", "ways", "like", "given", "show", "shows", "shown", "showing",
+)
 # Wordings that ask for a summary.
 SUMMARY_ASKS = (
     r"\bsummar(?:y|ize|ise|ies|izing|ising|ized|ised)\b", r"\brecap\b", r"\boverview\b", r"\bsynopsis\b", r"\brundown\b", r"\btl;?dr\b",

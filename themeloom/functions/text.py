@@ -21,10 +21,11 @@ STEM_SUFFIXES = ("ingly", "edly", "ings", "ies", "ied", "ing", "ed", "es", "ly")
 STRIPPED = ".,;:!?()[]\"'“”‘’"
 # Words that a query keyword is not.
 QUERY_STOPWORDS = (
-    "the a an is are was were be been being do does did have has had having will would shall should may might can could "
-    "that this these those it its and or but not no nor in on at to for of by with from as if so than too very "
-    "what which who whom whose where when how why"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "have", "has", "had", "having", "will", "would",
+    "shall", "should", "may", "might", "can", "could", "that", "this", "these", "those", "it", "its", "and", "or", "but", "not", "no", "nor", "in",
+    "on", "at", "to", "for", "of", "by", "with", "from", "as", "if", "so", "than", "too", "very", "what", "which", "who", "whom", "whose", "where",
+    "when", "how", "why",
+)
 QUESTION_WORDS = ("who", "what", "where", "when", "why", "how", "which", "whose", "whom")
 
 HOLD = "\x01"  # stands for a protected period

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 # Words of programming languages that name nothing.
 CODE_WORDS = (
-    "def class return import from as if elif else for while try except finally with lambda yield pass break continue raise assert del global "
-    "nonlocal in is not and or none true false self cls init print args kwargs "
-    "public private protected internal static final abstract void new this super extends implements interface enum struct package throws throw catch "
-    "switch case default do instanceof native synchronized transient volatile const var let function export async await using namespace "
-    "override virtual readonly sealed out ref null get set "
-    "int long short byte float double boolean bool char string str list dict map array object len range value values key keys item items"
-).split()
+    "def", "class", "return", "import", "from", "as", "if", "elif", "else", "for", "while", "try", "except", "finally", "with", "lambda", "yield",
+    "pass", "break", "continue", "raise", "assert", "del", "global", "nonlocal", "in", "is", "not", "and", "or", "none", "true", "false", "self",
+    "cls", "init", "print", "args", "kwargs", "public", "private", "protected", "internal", "static", "final", "abstract", "void", "new", "this",
+    "super", "extends", "implements", "interface", "enum", "struct", "package", "throws", "throw", "catch", "switch", "case", "default", "do",
+    "instanceof", "native", "synchronized", "transient", "volatile", "const", "var", "let", "function", "export", "async", "await", "using",
+    "namespace", "override", "virtual", "readonly", "sealed", "out", "ref", "null", "get", "set", "int", "long", "short", "byte", "float", "double",
+    "boolean", "bool", "char", "string", "str", "list", "dict", "map", "array", "object", "len", "range", "value", "values", "key", "keys", "item",
+    "items",
+)
 # Lines that open a unit, and parts of compound names.
 PATH_LINE = r"^\s*(?://|#|/\*)?\s*[\w.\-]+(?:[/\\][\w.\-]+)+\.[A-Za-z]{1,5}\s*(?:\*/)?\s*$"
 SIGNATURE = r"^\s{0,8}(?:(?:(?:public|private|protected|internal|static|final|abstract|sealed|async|export|default)\s+)*(?:def|class|function|interface|enum|struct|trait|impl)\s+\w|(?:public|private|protected|internal|static|final|abstract|async|override|virtual|export)\b[^=;]*\()"
