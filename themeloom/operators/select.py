@@ -7,7 +7,11 @@ sequential by nature, runs as a function of one document's rows.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +20,34 @@ LAMBDA, SHARE = 0.5, 0.2
 
 
 def greedy(costs: list[int], covers: list[list[int]], weights: list[float], budget: int, lam: float = LAMBDA) -> list[int]:
-    """Rows taken: the better of a greedy by gain per word and one by gain, then rows of no gain that still fit."""
+    """Rows taken where each raises its features by one, from nothing."""
+    return best_rows(costs, [[(v, 1.0) for v in own] for own in covers], weights, [0.0] * len(weights), budget, lam).rows
+
+
+@dataclass(frozen=True)
+class Taken:
+    """rows in order; how many of them brought gain; words; the objective; by gain per word ('ratio') or by gain ('unit')."""
+
+    rows: list[int]
+    n_gained: int
+    words: int
+    value: float
+    mode: str
+
+
+def best_rows(costs: list[int], raises: list[list[tuple[int, float]]], weights: list[float], starts: list[float], budget: int, lam: float = LAMBDA) -> Taken:
+    """The better of a greedy by gain per word and one by gain, then rows of no gain that still fit, in order.
+
+    A feature at level x is worth weight * (1 - lam ** x); a row raises the levels of its features. So
+    trie nodes, query terms (each raised by 1) and the similarity to a query vector (raised by what a
+    row has of it) are all features, and what earlier turns showed is where levels start.
+    """
     if not 0 < lam < 1:
         raise ValueError("lambda must lie between 0 and 1")
 
     def run(per_word: bool) -> tuple[float, list[int], int]:
-        seen, value, left, took = [0] * len(weights), 0.0, budget, []
-        gain = lambda i: (1 - lam) * sum(weights[v] * lam ** seen[v] for v in covers[i])
+        level, value, left, took = list(starts), 0.0, budget, []
+        gain = lambda i: sum(weights[v] * lam ** level[v] * (1 - lam**by) for v, by in raises[i])
         rank = lambda i, g: -(g / costs[i] if per_word else g)
         heap = [(rank(i, g), i, 0) for i in range(len(costs)) if (g := gain(i)) > 0]
         heapq.heapify(heap)
@@ -32,24 +57,25 @@ def greedy(costs: list[int], covers: list[list[int]], weights: list[float], budg
                 continue
             g = gain(i)
             if at != len(took):
-                heapq.heappush(heap, (rank(i, g), i, len(took)))
+                if g > 0:
+                    heapq.heappush(heap, (rank(i, g), i, len(took)))
                 continue
             value, left = value + g, left - costs[i]
             took.append(i)
-            for v in covers[i]:
-                seen[v] += 1
+            for v, by in raises[i]:
+                level[v] += by
         return value, took, left
 
-    value, took, left = run(True)
-    other, instead, rest = run(False)
-    if other > value:
-        took, left = instead, rest
+    (value, took, left), mode = run(True), "ratio"
+    other = run(False)
+    if other[0] > value:
+        (value, took, left), mode = other, "unit"
     chosen = set(took)
     for i, cost in enumerate(costs):
         if i not in chosen and cost <= left:
             chosen.add(i)
             left -= cost
-    return sorted(chosen)
+    return Taken(sorted(chosen), len(took), sum(costs[i] for i in chosen), value, mode)
 
 
 def _one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -85,3 +111,98 @@ def coverage_select(units: DataFrame, path_rows: DataFrame, node_rows: DataFrame
     total = units.groupBy("doc_id").agg(F.floor(F.sum("n_words") * F.lit(share)).cast("long").alias("budget"))
     rows = units.join(features, ["doc_id", "pos"], "left").join(total, "doc_id")
     return rows.groupBy("doc_id").applyInPandas(_one, RESULT)
+
+
+# What the query weighs against the document's themes.
+QUERY_SHARE = 0.5
+QUERY_RESULT = "doc_id long, n_units long, n_selected long, n_gained long, words_used long, budget long, mode string, objective double, n_terms_active long, coverage map<string,double>, context string"
+
+
+def term_weights(held: list[set[str]], terms: set[str], stems: dict[str, str], mass: float) -> dict[str, tuple[float, list[int]]]:
+    """Of each term that stands in some unit: its weight and those units.
+
+    Terms share the mass by surprisal; the mass itself is scaled by what the found terms' surprisal is
+    of that of all terms if each were rare, so that one common word cannot take all of it.
+    """
+    n, found = len(held), {}
+    for w in sorted(terms):
+        if at := [i for i, own in enumerate(held) if w in own or stems.get(w, w) in own]:
+            found[w] = (max(math.log((n + 1) / (len(at) + 1)), 1e-6), at)
+    whole = sum(s for s, _ in found.values())
+    share = min(1.0, whole / max(len(terms) * math.log((n + 1) / 2), 1e-9)) if terms else 0.0
+    return {w: (mass * share * s / whole, at) for w, (s, at) in found.items()}
+
+
+def similarity_raises(near: np.ndarray, costs: np.ndarray, budget: int) -> np.ndarray:
+    """What each unit raises the similarity feature by: what it has above the median, in parts of a budget's worth of it."""
+    above = np.maximum(np.maximum(near, 0) - np.median(np.maximum(near, 0)), 0)
+    above = above / above.max() if above.max() > 1e-9 else above
+    worth = float((above * costs).sum()) * min(1.0, budget / max(float(costs.sum()), 1.0))
+    return above * costs / worth if worth > 1e-9 else above
+
+
+def node_key(prefix) -> str:
+    """A trie node by its keywords, whatever their order."""
+    return ">".join(sorted(prefix))
+
+
+def _queried(lam: float, query_share: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        first = rows.iloc[0]
+        costs, budget = [max(int(n), 1) for n in rows["n_words"]], int(first["budget"])
+        seeds = dict(first["seeds"]) if first["seeds"] is not None else {}
+        keys, weights, raises = {}, [], []
+        for path, own in zip(rows["path"], rows["weights"], strict=True):
+            mine = []
+            for k, w in enumerate([] if own is None else own):
+                key = node_key(path[: k + 1])
+                if key not in keys:
+                    keys[key] = len(weights)
+                    weights.append(float(w))
+                mine.append((keys[key], 1.0))
+            raises.append(mine)
+        starts = [float(seeds.get(k, 0.0)) for k in keys]
+        nodes = [[v for v, _ in mine] for mine in raises]
+        terms = set() if first["terms"] is None else set(first["terms"])
+        stems = dict(zip(first["terms"], first["stems"], strict=True)) if terms else {}
+        near = rows["near"].astype(float).to_numpy()
+        vector = not np.isnan(near).all()
+        mass = query_share * (sum(weights) or 1.0)
+        found = term_weights([set() if w is None else set(w) for w in rows["words"]], terms, stems, mass * (0.5 if vector else 1.0))
+        for w, at in found.values():
+            for i in at:
+                raises[i].append((len(weights), 1.0))
+            weights.append(w)
+            starts.append(0.0)
+        if vector:
+            for i, by in enumerate(similarity_raises(np.nan_to_num(near), np.array(costs, float), budget)):
+                if by > 0:
+                    raises[i].append((len(weights), float(by)))
+            weights.append(mass - sum(w for w, _ in found.values()))
+            starts.append(0.0)
+        took = best_rows(costs, raises, weights, starts, budget, lam)
+        shown, names = dict(seeds), list(keys)
+        for i in took.rows:
+            for v in nodes[i]:
+                shown[names[v]] = shown.get(names[v], 0.0) + 1.0
+        line = {"doc_id": first["doc_id"], "n_units": len(rows), "n_selected": len(took.rows), "n_gained": took.n_gained, "words_used": took.words, "budget": budget, "mode": took.mode, "objective": round(took.value, 4), "n_terms_active": len(found), "coverage": shown, "context": "\n".join(rows["unit"].iloc[took.rows])}
+        return pd.DataFrame({k: [v] for k, v in line.items()})
+
+    return one
+
+
+def query_select(units: DataFrame, path_rows: DataFrame, node_rows: DataFrame, queries: DataFrame, share: float = SHARE, lam: float = LAMBDA, query_share: float = QUERY_SHARE) -> DataFrame:
+    """Per document: what is kept of its units for a question, and the coverage after it, from which a next turn can start.
+
+    units: doc_id, pos, unit, n_words, words (its words and their stems), near (similarity to the
+    question's vector, null without one). queries: doc_id, terms and their stems (arrays), seeds (node
+    key to level, or null). Documents without a row there are selected by their themes alone.
+    """
+    node = F.slice(F.col("path"), F.lit(1), F.col("i") + 1).alias("node")
+    each = path_rows.select("doc_id", "pos", F.posexplode("path").alias("i", "kw"), "path").select("doc_id", "pos", "i", node)
+    weighed = each.join(node_rows.select("doc_id", "node", "weight"), ["doc_id", "node"]).groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("w"))
+    features = path_rows.join(weighed, ["doc_id", "pos"], "left").select("doc_id", "pos", "path", F.transform("w", lambda x: x["weight"]).alias("weights"))
+    total = units.groupBy("doc_id").agg(F.floor(F.sum("n_words") * F.lit(share)).cast("long").alias("budget"))
+    rows = units.join(features, ["doc_id", "pos"], "left").join(total, "doc_id").join(queries.select("doc_id", "terms", "stems", "seeds"), "doc_id", "left")
+    return rows.groupBy("doc_id").applyInPandas(_queried(lam, query_share), QUERY_RESULT)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import chat as C
 from ..functions import forms
 from ..functions import text as T
-from ..operators import ledger, recall, scoring, segment, vectors
+from ..operators import ledger, recall, scoring, segment, select, themes, vectors
 from . import oracle
 
 BLANKS = "[ \\t\\r\\n]+"
@@ -339,6 +339,23 @@ def _form_sql(col: str) -> str:
 
 VERDICTS = VERDICTS.replace("{p}", _form_sql("p")).replace("{last}", _form_sql("last")).replace("{ref}", _form_sql("ref"))
 
+def query_select(s, d):
+    """Every document asked the words of one benchmark passage; the first theme of each is shown once already."""
+    units = segment.filtered(segment.sentences(read(s, d, "documents")))
+    kws = segment.keywords(units)
+    found = themes.themes(themes.keyword_df(kws))
+    paths = themes.paths(kws, found)
+    spoken = C.with_stems(F.filter(F.transform(F.split(F.lower("unit"), C.SPACE), T.strip_word), lambda w: w != ""))
+    items = read(s, d, "benchmark").select(F.row_number().over(recall.Window.orderBy("item_id")).alias("at"), F.col("text").alias("asked"))
+    n = items.count()
+    asked = read(s, d, "documents").select("doc_id", (F.pmod("doc_id", F.lit(max(n, 1))) + 1).alias("at")).join(F.broadcast(items), "at")
+    terms = asked.select("doc_id", C.query_keywords(F.col("asked")).alias("terms"))
+    seeds = found.filter("rk = 1").select("doc_id", F.create_map("kw", F.lit(1.0)).alias("seeds"))
+    queries = terms.join(seeds, "doc_id", "left").select("doc_id", "terms", F.transform("terms", T.soft_stem).alias("stems"), "seeds")
+    near = F.pmod(F.xxhash64("unit"), F.lit(1000)) / 1000  # stands for the similarity that an encoder gives
+    return select.query_select(units.withColumn("words", spoken).withColumn("near", near), paths, themes.nodes(paths, found), queries)
+
+
 #: name -> (query, SQL)
 PAIRS = {
     "wiki_clean": (wiki_clean, f"SELECT doc_id, md5({wiki_sql('t')}) AS hash FROM (SELECT doc_id, {WIKI_TEXT} AS t FROM documents)"),
@@ -383,6 +400,7 @@ ALONE = {
     "thoughts": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", forms.thoughts(F.concat(F.lit("<think>a <think x>"), F.expr(TEXT), F.lit("</think >b</THINK>"), F.expr(TEXT))).alias("t")).select("conv_id", "turn", "t.*"),
     "first_objects": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", forms.first_object(F.concat(F.lit("so {x: "), F.to_json(F.struct("role", "text")), F.lit(" }"))).alias("found")),
     "query_identifiers": lambda s, d: read(s, d, "events").select("event_id", F.array_join(F.sort_array(forms.identifiers(F.concat_ws(" ", F.lit("Which v2.1"), "props", F.col("ts").cast("string")))), " ").alias("found")),
+    "query_select": lambda s, d: query_select(s, d).withColumn("coverage", F.aggregate(F.map_values("coverage"), F.lit(0.0), lambda a, x: a + x)),
     "bisected_units": lambda s, d: read(s, d, "documents").select("doc_id", F.posexplode(forms.bisected(F.expr(TEXT), 400)).alias("pos", "part")),
 }
 
