@@ -156,7 +156,7 @@ def trace_rollup(s, d):
 
 
 TRACE = f"""WITH e AS ({ROUND}), r AS (SELECT user_id, event_id % 10 AS round, count(*) AS p, count_if(ran) AS n, count_if(ran AND status <> 'ok') AS f, max(CASE WHEN tokens > 90 THEN 1 END) AS pf, min(event_id) % 2 = 0 AS a, max(seconds) AS s FROM e GROUP BY ALL)
-SELECT user_id, count(*) AS turns, sum(p)::BIGINT AS pieces, sum(n)::BIGINT AS delegated, sum(f)::BIGINT AS failed, sum(coalesce(pf, 0))::BIGINT AS protocol_failures, count_if(a) AS direct, round(sum(greatest(coalesce(s, 0), 0)), 6) AS seconds FROM r GROUP BY user_id"""
+SELECT user_id, count(*) AS turns, sum(p)::BIGINT AS pieces, sum(n)::BIGINT AS delegated, sum(f)::BIGINT AS failed, sum(coalesce(pf, 0))::BIGINT AS protocol_failures, count_if(a)::BIGINT AS direct, round(sum(greatest(coalesce(s, 0), 0)), 6) AS seconds FROM r GROUP BY user_id"""
 
 STOPS = f"""WITH e AS ({ROUND}), w AS (SELECT *, coalesce(sum(CASE WHEN ran AND status = 'aborted' THEN 1 ELSE 0 END) OVER o, 0) AS i, coalesce(sum(ran::INT) OVER o, 0) AS n, coalesce(sum(CASE WHEN ran THEN tokens ELSE 0 END) OVER o, 0) AS t, coalesce(sum(seconds) OVER o, 0) AS s
  FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), r AS (SELECT event_id, CASE WHEN i > 0 THEN 'interrupted' WHEN n >= 4 THEN 'delegations' WHEN t >= 150 THEN 'tokens' WHEN s >= 20 THEN 'wall' END AS stop FROM w) """
@@ -371,9 +371,9 @@ PAIRS = {
     "trace_rollup": (trace_rollup, TRACE),
     "stop_reasons": (lambda s, d: stops(s, d).select("event_id", "stop"), STOPS + "SELECT * FROM r"),
     "stop_census": (lambda s, d: ledger.census(stops(s, d), "stop", []), STOPS + "SELECT coalesce(stop, 'none') AS outcome, count(*) AS turns FROM r GROUP BY ALL"),
-    "eval_scores": (eval_scores, "SELECT source, round(100 * avg(quality::DOUBLE), 2) AS score, count(*) AS n_samples, count_if(quality = 0) AS n_zero FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY source"),
+    "eval_scores": (eval_scores, "SELECT source, round(100 * avg(quality::DOUBLE), 2) AS score, count(*) AS n_samples, count_if(quality = 0)::BIGINT AS n_zero FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY source"),
     "headline_stats": (lambda s, d: ledger.headline(read(s, d, "events"), "event_type", "value"), "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY event_type"),
-    "compression_summary": (compression, "SELECT lang, count(*) AS samples, sum(n_chars)::BIGINT AS raw_words, sum(n_chars // 3)::BIGINT AS kept_words, round(sum(n_chars // 3)::DOUBLE / sum(n_chars), 6) AS ratio, round(avg(CASE WHEN n_chars // 2 > 0 THEN (n_chars // 3)::DOUBLE / (n_chars // 2) END), 6) AS utilization, count_if(doc_id % 4 > 0) AS anchored FROM documents GROUP BY lang"),
+    "compression_summary": (compression, "SELECT lang, count(*) AS samples, sum(n_chars)::BIGINT AS raw_words, sum(n_chars // 3)::BIGINT AS kept_words, round(sum(n_chars // 3)::DOUBLE / sum(n_chars), 6) AS ratio, round(avg(CASE WHEN n_chars // 2 > 0 THEN (n_chars // 3)::DOUBLE / (n_chars // 2) END), 6) AS utilization, count_if(doc_id % 4 > 0)::BIGINT AS anchored FROM documents GROUP BY lang"),
     "run_comparison": (run_comparison, COMPARED),
     "unanswered": (lambda s, d: ledger.unanswered(read(s, d, "conversations").select("conv_id", "turn"), read(s, d, "conversations").filter("role = 'assistant'"), ["conv_id", "turn"]), "SELECT DISTINCT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = c.conv_id AND a.turn = c.turn)"),
     "persona_binding": (personas, PERSONAS),
