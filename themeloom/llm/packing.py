@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Scratch, WorkerCache, arrow_schema, prepare, text_of, tokenizer_path
+from .common import Scratch, WorkerCache, arrow_schema, prepare, text_of, tokenizer_path
 
 MODEL, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Pieces that one shard packs.
 SHARD = 4096
+#: Bytes of text whose words are looked up at once: a word costs one lookup a chunk.
+CHUNK_BYTES = 4 << 20
 #: Entries of a worker's cache and the longest word in it.
 CACHE, LONGEST = 450_000, 64
 
