@@ -28,6 +28,9 @@ QUERY_STOPWORDS = (
 )
 QUESTION_WORDS = ("who", "what", "where", "when", "why", "how", "which", "whose", "whom")
 
+# Characters from which a sentence is over-long (401 tokens at four characters each), and of a cut.
+TOO_LONG, CUT = 1604, 1600
+EDGE_BLANKS = r"^[ \t\r\n]+|[ \t\r\n]+$"
 HOLD = "\x01"  # stands for a protected period
 _ENDS = r"[.,;:!?()\[\]\"'“”‘’]+"
 
@@ -42,11 +45,18 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
+def short_parts(part: Column) -> Column:
+    """A part as it is; an over-long one cut at its commas, or without any at the last blank of each CUT characters (anywhere, if there is none)."""
+    cut = F.regexp_extract_all(part, F.lit(f"([\\s\\S]{{1,{CUT}}}\\z|[\\s\\S]{{1,{CUT - 1}}}(?= )|[\\s\\S]{{{CUT}}})"), 1)
+    cut = F.when(F.contains(part, F.lit(",")), F.split(part, ",")).otherwise(cut)
+    return F.when(F.length(part) < TOO_LONG, F.array(part)).otherwise(F.transform(cut, lambda c: F.regexp_replace(c, EDGE_BLANKS, "")))
+
+
 def sentence_parts(text: Column) -> Column:
-    """Array of trimmed sentences in order, empties gone."""
+    """Array of trimmed sentences in order, over-long ones cut, empties gone."""
     split = F.split(protect_abbreviations(text), r"(?<=[.!?;])[ \t\r\n]+|\n+")
-    plain = F.transform(split, lambda p: F.replace(F.regexp_replace(p, r"^[ \t\r\n]+|[ \t\r\n]+$", ""), F.lit(HOLD), F.lit(".")))
-    return F.filter(plain, lambda p: p != "")
+    plain = F.transform(split, lambda p: F.replace(F.regexp_replace(p, EDGE_BLANKS, ""), F.lit(HOLD), F.lit(".")))
+    return F.filter(F.flatten(F.transform(plain, short_parts)), lambda p: p != "")
 
 
 def n_words(text: Column) -> Column:

@@ -22,7 +22,13 @@ def held(col: str) -> str:
 
 def parts(col: str) -> str:
     marked = f"regexp_replace(regexp_replace({held(col)}, '\\n+', chr(2), 'g'), '([.!?;])[ \\t\\r]+', '\\1' || chr(2), 'g')"
-    return f"list_filter(list_transform(string_split({marked}, chr(2)), lambda p: replace(regexp_replace(p, '{EDGES}', '', 'g'), chr(1), '.')), lambda p: p <> '')"
+    plain = f"list_transform(string_split({marked}, chr(2)), lambda p: replace(regexp_replace(p, '{EDGES}', '', 'g'), chr(1), '.'))"
+    # An over-long part without commas loses its head step by step; two steps pass 1,600 characters at least.
+    last = "1601 - strpos(reverse(left(a.r, 1600)), ' ')"
+    size = f"CASE WHEN length(a.r) <= 1600 OR {last} IN (1, 1601) THEN 1600 ELSE {last} - 1 END"
+    hard = f"list_reduce(list_prepend({{'o': []::VARCHAR[], 'r': p}}, list_transform(range(2 * (length(p) // 1600) + 4), lambda i: {{'o': []::VARCHAR[], 'r': ''}})), lambda a, x: {{'o': a.o || [left(a.r, {size})], 'r': substr(a.r, {size} + 1)}}).o"
+    cut = f"CASE WHEN length(p) < 1604 THEN [p] WHEN contains(p, ',') THEN string_split(p, ',') ELSE {hard} END"
+    return f"list_filter(list_transform(flatten(list_transform({plain}, lambda p: {cut})), lambda p: regexp_replace(p, '{EDGES}', '', 'g')), lambda p: p <> '')"
 
 
 def n_words(col: str) -> str:
