@@ -52,3 +52,57 @@ def unit_profile(rows: DataFrame) -> DataFrame:
     names = rows.withColumn("name", F.explode_outer(identifiers(F.col("line"))))
     counted = names.groupBy("doc_id", "unit").agg(F.countDistinct("pos").alias("n_lines"), F.countDistinct(F.when(F.col("anchor"), F.col("pos"))).alias("n_anchors"), F.countDistinct("name").alias("n_names"))
     return counted
+
+
+def query_terms(text: Column, words: int = 200) -> Column:
+    """Identifiers of the last words of a text, where a completion would go on."""
+    held = F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")
+    return identifiers(F.array_join(F.slice(held, F.greatest(F.size(held) - words, F.lit(0)) + 1, F.lit(words)), " "))
+
+
+def anchors(rows: DataFrame, budget_share: float = 0.2, tail_share: float = 0.9, struct_share: float = 0.1) -> DataFrame:
+    """doc_id, pos, n_words, kind of the lines that are kept whatever else is: tail and struct.
+
+    rows are those of ``units``. The tail is the longest run of last lines within tail_share of the
+    budget. Opening and importing lines before it are taken in order as long as each fits what
+    struct_share, or the budget after the tail, leaves. A question that brings its own place to go on
+    needs a tail of 0.1 only.
+    """
+    doc = Window.partitionBy("doc_id")
+    sized = rows.withColumn("n_words", F.size(F.filter(F.split("line", r"[ \t\r\n]+"), lambda w: w != "")))
+    sized = sized.withColumn("budget", F.floor(F.sum("n_words").over(doc) * F.lit(budget_share)))
+    after = doc.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    tail = F.sum("n_words").over(after) <= F.floor(F.col("budget") * F.lit(tail_share))
+    placed = sized.withColumn("tail", tail)
+    used = F.sum(F.when(F.col("tail"), F.col("n_words")).otherwise(0)).over(doc)
+    free = F.greatest(F.lit(0.0), F.least(F.lit(struct_share), (F.col("budget") - used) / F.greatest("budget", F.lit(1))))
+    placed = placed.withColumn("cap", F.floor(F.col("budget") * free)).filter("tail or anchor")
+    line = F.struct("pos", "n_words", "tail")
+    held = placed.groupBy("doc_id").agg(F.max("cap").alias("cap"), F.sort_array(F.collect_list(line)).alias("held"))
+    start = "named_struct('used', 0L, 'out', cast(array() as array<int>))"
+    take = "if(a.used + x.n_words <= cap, named_struct('used', a.used + x.n_words, 'out', array_append(a.out, x.pos)), a)"
+    held = held.withColumn("took", F.expr(f"aggregate(filter(held, x -> not x.tail), {start}, (a, x) -> {take}).out"))
+    kept = "filter(held, x -> x.tail or array_contains(took, x.pos))"
+    return held.select("doc_id", F.expr(f"inline(transform({kept}, x -> named_struct('pos', x.pos, 'n_words', x.n_words, 'kind', if(x.tail, 'tail', 'struct'))))"))
+
+
+def unit_themes(rows: DataFrame, percentile: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(keywords, themes) of code lines: identifiers, and each line's unit as one more keyword that is always a theme and leads its path.
+
+    A unit counts one more than the most frequent identifier of its document, whatever its size, so
+    the first level of the trie is the document's structure. Both tables are as ``operators.themes``
+    takes and makes them.
+    """
+    from . import themes
+
+    names = rows.select("doc_id", "pos", F.explode(identifiers(F.col("line"))).alias("kw"))
+    places = rows.select("doc_id", "pos", F.concat(F.lit("\0unit"), F.col("unit").cast("string")).alias("kw"))
+    kws = names.unionByName(places)
+    df = themes.keyword_df(kws)
+    real = df.filter(~F.startswith("kw", F.lit("\0"))).groupBy("doc_id").agg(F.max("df").alias("_most"))
+    found = themes.themes(df, percentile)
+    cut = found.groupBy("doc_id").agg(F.max("threshold").alias("threshold"))
+    units_ = places.select("doc_id", "kw").distinct().join(real, "doc_id", "left").join(cut, "doc_id", "left")
+    units_ = units_.select("doc_id", "kw", (F.coalesce("_most", F.lit(1)) + 1).alias("df"), "threshold")
+    both = found.filter(~F.startswith("kw", F.lit("\0"))).select("doc_id", "kw", "df", "threshold").unionByName(units_)
+    return kws, both.withColumn("rk", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("df"), "kw")))

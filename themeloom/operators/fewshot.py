@@ -91,3 +91,53 @@ def count_prefixes(units: DataFrame, share: float = 0.2, least: int = 8) -> Data
     words = lambda b: F.filter(F.split(b, r"[ \t\r\n]+"), lambda w: w != "")
     made = F.transform("u", lambda x: F.concat(F.lit("Paragraph "), x["label"].cast("string"), F.lit(": "), F.array_join(F.slice(words(x["body"]), F.lit(1), F.col("k")), " ")))
     return held.withColumn("k", k.cast("int")).select("doc_id", F.size("u").alias("n_units"), "k", F.array_join(made, "\n\n").alias("context"))
+
+
+def _paragraph(label: Column, body: Column) -> Column:
+    return F.concat(F.lit("Paragraph "), label.cast("string"), F.lit(": "), body)
+
+
+def signatures(units: DataFrame, share: float = 0.2, sig_words: int = 12) -> DataFrame:
+    """Units of ``paragraphs`` as what retrieval chooses from: each is shown by its first words at least, and can be bought whole.
+
+    Adds signature, whole, sig_cost, cost (words that the whole unit takes beyond its signature, one at
+    least) and budget (share of the document's words that is left when all signatures are shown).
+    """
+    doc = Window.partitionBy("doc_id")
+    words = F.filter(F.split("body", r"[ \t\r\n]+"), lambda w: w != "")
+    head = F.array_join(F.slice(words, 1, sig_words), " ")
+    out = units.withColumn("sig_cost", F.least(F.size(words), F.lit(sig_words)) + 2)
+    out = out.withColumn("signature", _paragraph(F.col("label"), F.concat(head, F.when(F.size(words) > sig_words, " ...").otherwise(""))))
+    out = out.withColumn("whole", _paragraph(F.col("label"), F.col("body"))).withColumn("cost", F.greatest(F.lit(1), F.col("n_words") + 2 - F.col("sig_cost")))
+    left = F.floor(F.sum("n_words").over(doc) * F.lit(share)) - F.sum("sig_cost").over(doc)
+    return out.withColumn("budget", F.greatest(F.lit(0), left).cast("long"))
+
+
+def shown(signed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Per document: every unit in order, whole where chosen (doc_id, unit) and as its signature elsewhere."""
+    marked = signed.join(chosen.select("doc_id", "unit", F.lit(True).alias("_whole")).distinct(), ["doc_id", "unit"], "left")
+    text = F.when(F.col("_whole"), F.col("whole")).otherwise(F.col("signature"))
+    spent = F.col("sig_cost") + F.when(F.col("_whole"), F.col("cost")).otherwise(0)
+    held = F.sort_array(F.collect_list(F.struct("unit", text.alias("text"))))
+    return marked.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.count("_whole").alias("n_full_units"), F.sum(spent).alias("words_used"), F.array_join(F.transform(held, lambda x: x["text"]), "\n\n").alias("context"))
+
+
+def retrieve(docs: DataFrame, questions: DataFrame, share: float = 0.2, sig_words: int = 12, percentile: float = 0.75) -> DataFrame:
+    """Documents of enumerated paragraphs for a question (doc_id, question, near by unit or null): the selector buys whole units, all others stay as signatures.
+
+    Documents without such units give no row; those without a question belong to ``count_prefixes``.
+    """
+    from ..functions import chat as C
+    from . import select, themes
+
+    signed = signatures(paragraphs(docs), share, sig_words)
+    rows = signed.select("doc_id", F.col("unit").alias("pos"), F.col("whole").alias("unit"), F.col("cost").alias("n_words"), "budget", "body")
+    kws = rows.select("doc_id", "pos", F.explode(T.content_words(F.col("body"))).alias("kw"))
+    found = themes.themes(themes.keyword_df(kws), percentile)
+    path_rows = themes.paths(kws, found)
+    asked = questions.select("doc_id", C.query_keywords(F.col("question")).alias("terms"))
+    asked = asked.select("doc_id", "terms", F.transform("terms", T.soft_stem).alias("stems"), F.lit(None).cast("map<string,double>").alias("seeds"))
+    spoken = C.with_stems(F.filter(F.transform(F.split(F.lower("unit"), C.SPACE), T.strip_word), lambda w: w != ""))
+    units = rows.withColumn("words", spoken).withColumn("near", F.lit(None).cast("double")).drop("body")
+    took = select.query_select(units, path_rows, themes.nodes(path_rows, found), asked)
+    return shown(signed, took.select("doc_id", F.explode("took").alias("unit")))

@@ -115,7 +115,7 @@ def coverage_select(units: DataFrame, path_rows: DataFrame, node_rows: DataFrame
 
 # What the query weighs against the document's themes.
 QUERY_SHARE = 0.5
-QUERY_RESULT = "doc_id long, n_units long, n_selected long, n_gained long, words_used long, budget long, mode string, objective double, n_terms_active long, coverage map<string,double>, context string"
+QUERY_RESULT = "doc_id long, n_units long, n_selected long, n_gained long, words_used long, budget long, mode string, objective double, n_terms_active long, coverage map<string,double>, took array<long>, context string"
 
 
 def term_weights(held: list[set[str]], terms: set[str], stems: dict[str, str], mass: float) -> dict[str, tuple[float, list[int]]]:
@@ -186,7 +186,7 @@ def _queried(lam: float, query_share: float) -> Callable[[pd.DataFrame], pd.Data
         for i in took.rows:
             for v in nodes[i]:
                 shown[names[v]] = shown.get(names[v], 0.0) + 1.0
-        line = {"doc_id": first["doc_id"], "n_units": len(rows), "n_selected": len(took.rows), "n_gained": took.n_gained, "words_used": took.words, "budget": budget, "mode": took.mode, "objective": round(took.value, 4), "n_terms_active": len(found), "coverage": shown, "context": "\n".join(rows["unit"].iloc[took.rows])}
+        line = {"doc_id": first["doc_id"], "n_units": len(rows), "n_selected": len(took.rows), "n_gained": took.n_gained, "words_used": took.words, "budget": budget, "mode": took.mode, "objective": round(took.value, 4), "n_terms_active": len(found), "coverage": shown, "took": [int(p) for p in rows["pos"].iloc[took.rows]], "context": "\n".join(rows["unit"].iloc[took.rows])}
         return pd.DataFrame({k: [v] for k, v in line.items()})
 
     return one
@@ -197,12 +197,14 @@ def query_select(units: DataFrame, path_rows: DataFrame, node_rows: DataFrame, q
 
     units: doc_id, pos, unit, n_words, words (its words and their stems), near (similarity to the
     question's vector, null without one). queries: doc_id, terms and their stems (arrays), seeds (node
-    key to level, or null). Documents without a row there are selected by their themes alone.
+    key to level, or null). Documents without a row there are selected by their themes alone. Where
+    units have a column budget, it stands for share of the document's words. took are the positions.
     """
     node = F.slice(F.col("path"), F.lit(1), F.col("i") + 1).alias("node")
     each = path_rows.select("doc_id", "pos", F.posexplode("path").alias("i", "kw"), "path").select("doc_id", "pos", "i", node)
     weighed = each.join(node_rows.select("doc_id", "node", "weight"), ["doc_id", "node"]).groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("w"))
     features = path_rows.join(weighed, ["doc_id", "pos"], "left").select("doc_id", "pos", "path", F.transform("w", lambda x: x["weight"]).alias("weights"))
-    total = units.groupBy("doc_id").agg(F.floor(F.sum("n_words") * F.lit(share)).cast("long").alias("budget"))
-    rows = units.join(features, ["doc_id", "pos"], "left").join(total, "doc_id").join(queries.select("doc_id", "terms", "stems", "seeds"), "doc_id", "left")
+    total = F.max("budget") if "budget" in units.columns else F.floor(F.sum("n_words") * F.lit(share))
+    total = units.groupBy("doc_id").agg(total.cast("long").alias("budget"))
+    rows = units.drop("budget").join(features, ["doc_id", "pos"], "left").join(total, "doc_id").join(queries.select("doc_id", "terms", "stems", "seeds"), "doc_id", "left")
     return rows.groupBy("doc_id").applyInPandas(_queried(lam, query_share), QUERY_RESULT)

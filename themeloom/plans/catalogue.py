@@ -140,13 +140,15 @@ TABLE: dict[str, Query] = {
 def queries() -> dict[str, Query]:
     from .further import TABLE as FURTHER
     from .more import TABLE as MORE
+    from .wider import TABLE as WIDER
 
-    return TABLE | MORE | FURTHER
+    return TABLE | MORE | FURTHER | WIDER
 
 
 def oracle_sql() -> dict[str, str]:
     from .further import SQL as FURTHER
     from .oracle import SQL
     from .oracle_more import SQL as MORE
+    from .wider import SQL as WIDER
 
-    return SQL | MORE | FURTHER
+    return SQL | MORE | FURTHER | WIDER

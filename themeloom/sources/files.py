@@ -103,3 +103,77 @@ def haystacks(words: DataFrame, length: int, needle: str, depth: float = 0.5) ->
 def line_head(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The first n rows of each key in order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_n") <= n).drop("_n")
+
+
+QA = "array<struct<Q:string,question:string,A:string,answer:string>>"
+
+
+def nested(rows: DataFrame, top: int | None = None) -> DataFrame:
+    """From flat rows (at, title, context, qa_pairs, question, answer): a row for each title with its questions in order.
+
+    qa_pairs is a written list, with single or double quotes; one that cannot be read gives no
+    question, and a row without it gives its own question and answer. Rows without a title are
+    documents of their own. Most questions first, then longest, then first seen. A title's first row
+    gives its text. Pairs of a list are numbered within it, lone questions among all of their title.
+    """
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.concat(F.lit("unknown_"), F.col("at").cast("string")))
+    listed = F.coalesce("qa_pairs", F.lit("")) != ""
+    read = F.from_json(F.replace("qa_pairs", F.lit("'"), F.lit('"')), QA)
+    first = lambda x, *names: F.coalesce(*[F.when(x[n] != "", x[n]) for n in names], F.lit(""))
+    pairs = F.transform(read, lambda x, i: F.struct(i.alias("i"), first(x, "Q", "question").alias("question"), first(x, "A", "answer").alias("answer")))
+    lone = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer")))
+    each = rows.select("at", title.alias("title"), F.coalesce("context", F.lit("")).alias("context"), F.coalesce(F.when(listed, F.coalesce(pairs, F.slice(lone, 1, 0))), lone).alias("q"))
+    by = each.groupBy("title").agg(F.min("at").alias("at"), F.min_by("context", "at").alias("context"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "q"))), lambda x: x["q"])).alias("q"))
+    named = F.transform("q", lambda x, n: F.struct(F.concat("title", F.lit("__"), F.coalesce(x["i"], n).cast("string")).alias("id"), x["question"].alias("question"), x["answer"].alias("answer")))
+    out = by.select("title", "context", X.n_words(F.col("context")).alias("n_words"), F.size("q").alias("n_questions"), named.alias("questions"), "at")
+    ordered = out.orderBy(F.desc("n_questions"), F.desc("n_words"), "at").drop("at")
+    return ordered if top is None else ordered.limit(top)
+
+
+def dataset_of(path: Column, said: Column, names: tuple[str, ...]) -> Column:
+    """The dataset of a file of samples: what its first record says, else its name, else the known name that its name begins with before _ or -; null if none is known."""
+    said = F.lower(said)
+    stem = F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=[^/])\.[^.]*$", ""))
+    known = F.when(said.isin(*names), said).when(stem.isin(*names), stem)
+    for n in names:
+        known = known.when(F.startswith(stem, F.lit(f"{n}_")) | F.startswith(stem, F.lit(f"{n}-")), n)
+    return known
+
+
+def sessions(rows: DataFrame, key: str, turn: str, at: str) -> DataFrame:
+    """Every conversation with its turns, rows and last time, the latest first."""
+    out = rows.groupBy(key).agg(F.countDistinct(turn).alias("n_turns"), F.count("*").alias("n_sentences"), F.max(at).alias("modified"))
+    return out.orderBy(F.desc("modified"), key)
+
+
+#: Tables that a saved session must have, with the columns that they are read by.
+SESSION_TABLES = {"rows": ("conv_id", "row_idx", "text"), "coverage": ("conv_id", "node", "level")}
+
+
+def save_sessions(tables: dict[str, DataFrame], path: str, version: int) -> str:
+    """Writes the tables as one version beside earlier ones, which stay whole if the write is lost; returns its folder.
+
+    A version counts once all of its tables carry the writer's mark, so a reader never sees a torn one.
+    """
+    if missing := set(SESSION_TABLES) - set(tables):
+        raise ValueError(f"a session needs {sorted(missing)}")
+    folder = f"{path.rstrip('/')}/v{version:08d}"
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return folder
+
+
+def load_sessions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the latest whole version. Raises where there is none, or a table lacks a column it is read by."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((s.getPath().getName() for s in fs.listStatus(root)), reverse=True) if fs.exists(root) else []
+    for v in found:
+        if v.startswith("v") and all(fs.exists(jvm.Path(f"{path.rstrip('/')}/{v}/{t}/_SUCCESS")) for t in SESSION_TABLES):
+            tables = {t: spark.read.parquet(f"{path.rstrip('/')}/{v}/{t}") for t in SESSION_TABLES}
+            for t, need in SESSION_TABLES.items():
+                if missing := set(need) - set(tables[t].columns):
+                    raise ValueError(f"{t} of {v} lacks {sorted(missing)}")
+            return tables
+    raise FileNotFoundError(f"no whole version under {path}")
