@@ -42,12 +42,17 @@ def whole_words(pieces: Column, weights: Column) -> Column:
 
     A piece marked ## goes on with the word before it, any other begins one; so does the first.
     """
+    bound = F.transform(F.array(F.struct(pieces.alias("p"), weights.alias("w"))), lambda s: _words(s["p"], s["w"]))  # each is worked out once
+    return F.when(F.size(pieces) > 0, F.get(bound, F.lit(0))).otherwise(F.array().cast("array<struct<word:string,weight:double,places:array<int>>>"))
+
+
+def _words(pieces: Column, weights: Column) -> Column:
     opens = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i == 0) | ~F.startswith(F.get(pieces, i), F.lit("##")))
     ends = F.concat(F.slice(opens, 2, F.size(opens)), F.array(F.size(pieces)))
-    bare = F.transform(pieces, lambda p: F.replace(F.replace(p, F.lit("▁"), F.lit("")), F.lit("##"), F.lit("")))
 
     def word(i: Column, end: Column) -> Column:
-        label = F.lower(F.array_join(F.slice(bare, i + 1, end - i), ""))
-        return F.struct(label.alias("word"), F.aggregate(F.slice(weights, i + 1, end - i), F.lit(0.0), lambda a, x: a + x).alias("weight"), F.sequence(i, end - 1).alias("places"))
+        bare = F.transform(F.slice(pieces, i + 1, end - i), lambda p: F.replace(F.replace(p, F.lit("▁"), F.lit("")), F.lit("##"), F.lit("")))
+        weight = F.aggregate(F.slice(weights, i + 1, end - i), F.lit(0.0), lambda a, x: a + x)
+        return F.struct(F.lower(F.array_join(bare, "")).alias("word"), weight.alias("weight"), F.sequence(i, end - 1).alias("places"))
 
-    return F.when(F.size(pieces) > 0, F.zip_with(opens, ends, word)).otherwise(F.array().cast("array<struct<word:string,weight:double,places:array<int>>>"))
+    return F.zip_with(opens, ends, word)

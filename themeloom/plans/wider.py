@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import code, decide, fewshot, filters, segment, windows
 from ..sources import files
 from . import oracle
-from .further import TEXT, read, words
+from .further import SHORT, TEXT, read, wiki_sql, words
 
 PLANTED = {
     3: "unit || ' See https://a.example/b, too.'",
@@ -29,9 +29,9 @@ def _fates(s, d):
     return filters.fates(units, aggressive=True, strip_urls=True, lenient=True, keep=F.col("pos") % 17 == 0)
 
 
-FATES = f"""WITH {oracle.UNITS}, p AS (SELECT doc_id, pos, pos % 13 AS kind, pos % 17 = 0 AS keep, unit AS own, {MARKED_UNIT} AS unit FROM units),
+FATES = f"""WITH {oracle.UNITS}, p AS (SELECT doc_id, pos, pos % 13 AS kind, pos % 17 = 0 AS keep, unit AS own, {MARKED_UNIT} AS unit, {wiki_sql("trim('upright=1.2 ' || unit)")} AS cleaned FROM units),
  r AS (SELECT *, CASE WHEN keep THEN 'kept' WHEN {oracle.junk('unit')} AND kind <> 5 AND NOT regexp_matches(lower(trim(unit)), '^([a-z][a-z]+\\s*\\(\\d{{4}}|\\d+\\.\\d+\\s+for\\s+)') THEN 'junk'
- WHEN kind = 11 AND (length(trim(unit)) < 30 OR {oracle.n_words('unit')} < 5) THEN 'junk' WHEN kind = 5 OR (kind = 3 AND 20 > 0.4::DOUBLE * length(trim(unit))) THEN 'url' WHEN kind = 7 THEN 'aggressive' ELSE 'kept' END AS first FROM p), v AS (SELECT *, CASE WHEN kind = 3 AND NOT keep AND first = 'kept' THEN own || ' See <url>, too.' ELSE unit END AS shown FROM r),
+ WHEN kind = 11 AND {SHORT.format('cleaned')} THEN 'junk' WHEN kind = 5 OR (kind = 3 AND 20 > 0.4::DOUBLE * length(trim(unit))) THEN 'url' WHEN kind = 7 THEN 'aggressive' ELSE 'kept' END AS first FROM p), v AS (SELECT *, CASE WHEN kind = 3 AND NOT keep AND first = 'kept' THEN own || ' See <url>, too.' ELSE unit END AS shown FROM r),
  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, first, {oracle.dedup_key('shown')} ORDER BY pos) AS n FROM v),
  f AS (SELECT doc_id, pos, shown, CASE WHEN first = 'kept' AND n > 1 THEN 'repeat' ELSE first END AS fate FROM k)
 """
