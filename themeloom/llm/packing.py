@@ -27,13 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WorkerCache, arrow_schema, prepare, text_of, tokenizer_path
+from .common import CHUNK_BYTES, Scratch, WorkerCache, arrow_schema, prepare, release, text_of, tokenizer_path
 
 MODEL, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Pieces that one shard packs.
 SHARD = 4096
-#: Bytes of text whose words are looked up at once: a word costs one lookup a chunk.
-CHUNK_BYTES = 4 << 20
 #: Entries of a worker's cache and the longest word in it.
 CACHE, LONGEST = 450_000, 64
 
@@ -153,6 +151,7 @@ class _Pieces:
                     for col, v in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+        release()
 
 
 def cut_documents(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
