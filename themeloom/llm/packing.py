@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Scratch, WorkerCache, arrow_schema, prepare, release, text_of, tokenizer_path
+from .common import Scratch, WorkerCache, arrow_schema, prepare, release, text_of, tokenizer_path
 
 MODEL, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Pieces that one shard packs.
 SHARD = 4096
+#: Bytes of text whose words are looked up at once: a word costs one lookup a chunk. A worker holds some 15 MB more for each MB.
+CHUNK_BYTES = 4 << 20
 #: Entries of a worker's cache and the longest word in it.
 CACHE, LONGEST = 450_000, 64
 
@@ -108,13 +110,13 @@ def lowered(word: str) -> str:
     return word.lower() if word.isascii() and "<|" not in word else word
 
 
-def token_bytes(texts: pa.Array, model: str = MODEL) -> Iterator[bytes]:
-    """Each text's ids as little-endian 32-bit integers; of so many texts at once as hold about CHUNK_BYTES."""
+def token_bytes(texts: pa.Array, model: str = MODEL, chunk: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """Each text's ids as little-endian 32-bit integers; of so many texts at once as hold about chunk bytes."""
     tok = _words.get(model)
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chunk, "right")))
         plain = pc.replace_substring_regex(texts.slice(lo, hi - lo), APART, APARTED)
         lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()  # a word is looked up once a chunk
@@ -137,14 +139,14 @@ def token_bytes(texts: pa.Array, model: str = MODEL) -> Iterator[bytes]:
 
 
 class _Pieces:
-    def __init__(self, model: str, end: int, window: int):
-        self.model, self.end, self.window = model, end, window
+    def __init__(self, model: str, end: int, window: int, chunk: int):
+        self.model, self.end, self.window, self.chunk = model, end, window, chunk
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, wide, end = arrow_schema(PIECES), 4 * self.window, np.array([self.end], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, raw in zip(b.column(0).to_pylist(), token_bytes(b.column(1), self.model), strict=True):
+            for doc, raw in zip(b.column(0).to_pylist(), token_bytes(b.column(1), self.model, self.chunk), strict=True):
                 raw += end
                 for at in range(0, len(raw), wide):
                     piece = raw[at : at + wide]
@@ -154,10 +156,10 @@ class _Pieces:
         release()
 
 
-def cut_documents(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_BYTES) -> DataFrame:
     """Pieces of at most window ids: full ones, then the rest."""
     prepare(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(_Pieces(model, end, window), PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(_Pieces(model, end, window, chunk), PIECES)
 
 
 class Tree:
@@ -225,14 +227,14 @@ class _Pack:
         yield from t.combine_chunks().to_batches()
 
 
-def pack(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WINDOW, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WINDOW, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_BYTES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The pieces are written once to the shared folder, so a lost executor costs no second
     tokenisation and the deal of pieces to shards repeats exactly.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.cut(cut_documents(docs, model, end, window, id_col, text_col), "pieces")
+    pieces = scratch.cut(cut_documents(docs, model, end, window, id_col, text_col, chunk), "pieces")
     shards = max(1, round(pieces.count() / shard))
     dealt = pieces.repartition(shards)
     return dealt.mapInArrow(_Pack(window, shards), f"{PIECES}, sequence_id long, offset long")
