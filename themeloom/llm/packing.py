@@ -32,7 +32,7 @@ from .common import Scratch, WorkerCache, arrow_schema, prepare, release, text_o
 MODEL, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Pieces that one shard packs.
 SHARD = 4096
-#: Bytes of text whose words are looked up at once: a word costs one lookup a chunk. A worker holds some 15 MB more for each MB.
+#: Bytes of text whose words are looked up at once: a word costs one lookup a chunk. A worker holds some 20 MB more for each MB.
 CHUNK_BYTES = 4 << 20
 #: Entries of a worker's cache and the longest word in it.
 CACHE, LONGEST = 450_000, 64
