@@ -5,6 +5,9 @@ import datetime as dt
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from themeloom.functions import forms
 from themeloom.plans import catalogue
 
 
@@ -30,3 +33,12 @@ def test_sliding_days_takes_times_to_the_nearest_second(spark, folder):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(str(folder / "events.parquet"))
     got, want = both(spark, folder, "sliding_days")
     assert got == want and "(1704736800, 4)" in got
+
+
+def test_memory_claims_ends_words_as_its_sql_does(spark, folder):
+    said = ["Les oution éouréou.", "ours", "rememberé", "érecap", "a wir us_b", "tell me, é", None]
+    t = spark.createDataFrame([(i, 4, "user", x) for i, x in enumerate(said)], "conv_id long, turn long, role string, text string")
+    t.write.parquet(str(folder / "conversations.parquet"))
+    got, want = both(spark, folder, "memory_claims")
+    assert got == want and "(0, 4, 'personal', False, 'personal')" in got
+    assert t.filter("conv_id = 0").select(forms.claimed(F.col("text"))).first()[0] is None

@@ -26,6 +26,8 @@ PAST = (
     r"\b(?:last time|earlier|previously|before|again|so far)\b", r"\b(?:last|previous|earlier|first) (?:chat|conversation|talk|session|message)\b",
 )
 FIRST_PERSON = r"\b(?:i|me|my|mine|myself|we|us|our|ours)\b"
+#: Where a word of ASCII letters, digits and underscores begins or ends; Java's \b minds other letters too.
+ASCII_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 #: Words up to which a line can be about the memory itself.
 CLAIM_WORDS = 25
 # What an answer that was cut says of it, and the tags around a model's thoughts.
@@ -69,16 +71,20 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.filter(cleaned, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\p{L}+$") & w.rlike(r"[\p{L}\p{N}]")))
 
 
-def claimed(line: Column) -> Column:
-    """Why a short line is about the memory itself: summary, past, personal, or null."""
+def claimed(line: Column, ascii_words: bool = False) -> Column:
+    """Why a short line is about the memory itself: summary, past, personal, or null.
+
+    A word ends where no letter of any script follows; with ascii_words, where no ASCII one does.
+    """
     low = F.lower(T.squeeze(F.coalesce(line, F.lit(""))))
-    why = F.when(C.summary_ask(low), "summary").when(C.any_of(low, PAST), "past").when(low.rlike(FIRST_PERSON), "personal")
+    says = lambda *patterns: C.any_of(low, [p.replace(r"\b", ASCII_EDGE) if ascii_words else p for p in patterns])
+    why = F.when(says(*C.SUMMARY_ASKS), "summary").when(says(*PAST), "past").when(says(FIRST_PERSON), "personal")
     return F.when(T.n_words(F.coalesce(line, F.lit(""))) <= CLAIM_WORDS, why)
 
 
-def may_hold(line: Column, summary: Column, windowed: Column, named: Column) -> Column:
+def may_hold(line: Column, summary: Column, windowed: Column, named: Column, ascii_words: bool = False) -> Column:
     """ok and why: whether a turn may go without memory when memory holds nothing for it."""
-    why = F.when(summary, "summary").when(windowed, "window").when(named, "named").otherwise(claimed(line))
+    why = F.when(summary, "summary").when(windowed, "window").when(named, "named").otherwise(claimed(line, ascii_words))
     return F.struct(why.isNull().alias("ok"), why.alias("why"))
 
 
