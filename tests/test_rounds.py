@@ -42,3 +42,11 @@ def test_memory_claims_ends_words_as_its_sql_does(spark, folder):
     got, want = both(spark, folder, "memory_claims")
     assert got == want and "(0, 4, 'personal', False, 'personal')" in got
     assert t.filter("conv_id = 0").select(forms.claimed(F.col("text"))).first()[0] is None
+
+
+def test_evidence_top_takes_any_number_of_queries(spark, folder):
+    rows = [(100 * i, [float(i % 7), float(i % 11) - 5], i % 3) for i in range(1010)]
+    rows += [(1, [1.0, 2.0], 8), (2, [0.5, -2.0], 8), (3, None, 9), (101_100, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(folder / "embeddings.parquet"))
+    got, want = both(spark, folder, "evidence_top")
+    assert got == want and len(got) == 5 * 1011

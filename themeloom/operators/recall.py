@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +59,62 @@ def lexical_mass(hits: DataFrame, sizes: DataFrame, terms: DataFrame, keys: list
     return df.select(*keys, "term", "df", F.round("surprisal", 9).alias("surprisal"), F.round(found, 9).alias("match"), F.round(mass * F.col("surprisal") / all_of, 9).alias("weight"))
 
 
+#: About so many rows of a group, and queries, meet in one matrix product.
+SLICE_ROWS, BLOCK_QUERIES = 8192, 500
+
+
+def _matrix(held: pa.ListArray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles, and which of them are whole: neither null, nor of another length, nor with a null lane."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(held), -1))
+    values, out, whole = held.flatten(), np.zeros((len(held), lanes)), sizes == lanes
+    ends = np.cumsum(np.maximum(sizes, 0))
+    flat = np.asarray(pc.fill_null(pc.cast(values, pa.float64()), 0.0))
+    holes = np.concatenate([[0], np.cumsum(np.asarray(values.is_null()))])
+    whole &= holes[ends] == holes[ends - np.maximum(sizes, 0)]
+    out[whole] = flat[(ends[whole] - lanes)[:, None] + np.arange(lanes)]
+    return out, whole
+
+
+def _nearest(group: str, k: int):
+    """For each slice and block: of every query the k largest dot products, as a column ``best``."""
+
+    def found(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                column = lambda c: batch.column(c).slice(at, 1)  # noqa: E731, B023
+                asked = column("asked").flatten()
+                asked_of, held_of = asked.field("query"), column("held").flatten().field("embedding")
+                wide = np.asarray(pc.fill_null(pc.list_value_length(asked_of), -1))
+                best = [np.empty(0)] * len(asked)
+                for lanes in np.unique(wide[wide >= 0]):
+                    q, q_whole = _matrix(asked_of, int(lanes))
+                    e, e_whole = _matrix(held_of, int(lanes))
+                    near = q[q_whole] @ e[e_whole].T
+                    if near.shape[1] > k:
+                        near = np.partition(near, near.shape[1] - k, axis=1)[:, -k:]
+                    for i, own in zip(np.flatnonzero(q_whole), near, strict=True):
+                        best[i] = own
+                yield pa.RecordBatch.from_arrays([pa.array(column(group).to_pylist() * len(asked), batch.schema.field(group).type), asked.field("query_id"), pa.array(best, pa.list_(pa.float64()))], [group, "query_id", "best"])
+
+    return found
+
+
 def top_mean(rows: DataFrame, queries: DataFrame, group: str, k: int = 3) -> DataFrame:
     """group, query_id, top: the mean similarity of the k rows of a group nearest to each query.
 
-    queries (query_id, query) are counted and broadcast, and every row meets them in place; a group's
-    rows are reduced to their k largest in two steps (of a slice, then of the group).
+    Any number of queries (query_id, query): they are cut into blocks and a group's rows into slices, by
+    hashes; each slice meets each block in one product, and k numbers a query leave it.
     """
-    if queries.count() > vectors.MOST_QUERIES:
-        raise ValueError(f"over {vectors.MOST_QUERIES} query vectors")
-    near = rows.crossJoin(F.broadcast(queries)).select(group, "query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("slice"), vectors.dot(F.col("embedding"), F.col("query")).alias("s"))
-    best = Window.partitionBy(group, "query_id", "slice").orderBy(F.desc("s"))
-    first = near.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k)
-    again = Window.partitionBy(group, "query_id").orderBy(F.desc("s"))
-    kept = first.withColumn("_n", F.row_number().over(again)).filter(F.col("_n") <= k)
-    return kept.groupBy(group, "query_id").agg(F.round(F.avg("s"), 4).alias("top"))
+    n_slices, n_blocks = (max(1, -(-df.count() // n)) for df, n in ((rows, SLICE_ROWS), (queries, BLOCK_QUERIES)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    slices = rows.groupBy(group, dealt("vec_id", n_slices).alias("_slice")).agg(F.collect_list(F.struct("embedding")).alias("held"))
+    blocks = queries.groupBy(dealt("query_id", n_blocks).alias("_block")).agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema, *queries.schema]}
+    near = slices.crossJoin(F.broadcast(blocks)).select(group, "held", "asked").mapInArrow(_nearest(group, k), f"`{group}` {kinds[group]}, query_id {kinds['query_id']}, best array<double>")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("best")), False), 1, k)
+    kept = near.groupBy(group, "query_id").agg(best.alias("best"))
+    mean = F.when(F.size("best") > 0, F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.size("best"))
+    return kept.select(group, "query_id", F.round(mean, 4).alias("top"))
 
 
 def tail_resident(rows: DataFrame, tail: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Operators over unit vectors. Queries are few and broadcast behind a count; rows are never paired all with all."""
+"""Operators over unit vectors. A query vector is broadcast; rows are never paired all with all."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast at once.
-MOST_QUERIES = 1_000
-
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
