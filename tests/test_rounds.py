@@ -98,3 +98,18 @@ def test_coverage_of_documents_equals_the_plan_over_units_without_its_shuffles(s
     got = by_id(select.coverage_of_documents(docs))
     assert got == want and len(got) > 50
     assert not hashed(catalogue.queries()["coverage_select"](spark, data))
+
+
+def test_query_of_documents_equals_the_plan_over_units_without_its_shuffles(spark, data):
+    docs = docs_of(spark, odd_texts(seed=4))
+    units, _, _, found, paths = table_parts(docs)
+    spoken = C.with_stems(F.filter(F.transform(F.split(F.lower("unit"), C.SPACE), T.strip_word), lambda w: w != ""))
+    near = lambda u: F.when(F.col("doc_id") % 3 > 0, F.pmod(F.xxhash64(u), F.lit(1000)) / 1000)
+    asked = docs.filter("doc_id % 4 > 0").select("doc_id", C.query_keywords(F.lit("Which rivers crossed the towns of Ólafur?")).alias("terms")).withColumn("stems", F.transform("terms", T.soft_stem))
+    seeds = found.filter("rk <= 2 and doc_id % 5 > 0").groupBy("doc_id").agg(F.sort_array(F.collect_list("kw")).alias("k")).filter("size(k) = 2").select("doc_id", F.map_from_arrays(F.array(F.array_join("k", ">"), F.element_at("k", 1)), F.array(F.lit(1.0), F.lit(2.0))).alias("seeds"))
+    with_seeds = asked.join(seeds, "doc_id", "left")
+    want = by_id(select.query_select(units.withColumn("words", spoken).withColumn("near", near("unit")), paths, themes.nodes(paths, found), with_seeds))
+    rows = select.profiled(docs).join(with_seeds, "doc_id", "left").withColumn("near", F.transform("unit", near))
+    got = by_id(select.query_of_documents(rows))
+    assert got == want and len(got) > 50 and any(r["n_terms_active"] for r in got.values())
+    assert not hashed(catalogue.queries()["query_select"](spark, data))

@@ -118,8 +118,9 @@ def is_short_junk(text: str) -> bool:
     return len(text) < 30 or len(words_of(text)) < 5
 
 
-def is_junk(text: str, low: str) -> bool:
-    if is_short_junk(text) or _BEGUN.match(low):
+def is_junk(text: str, low: str, n_words: int) -> bool:
+    """Of a text without blanks at its ends."""
+    if len(text) < 30 or n_words < 5 or _BEGUN.match(low):
         return True
     return any(m in low for m in _MARKS) and _INSIDE.search(low) is not None and is_short_junk(wiki_clean(text))
 
@@ -140,12 +141,13 @@ def kept_units(text: str | None) -> list[Unit]:
         if low in seen:
             continue
         seen.add(low)
-        if is_junk(unit, low):
+        words = words_of(low) if len(unit) >= 30 else []
+        if is_junk(unit, low, len(words)):
             continue
         key = " ".join(_KEY.findall(low))
         if key not in keys:
             keys.add(key)
-            out.append(Unit(pos, unit, words_of(low)))
+            out.append(Unit(pos, unit, words))
     return out
 
 
@@ -165,45 +167,85 @@ def profile(kws: list[list[str]], percentile: float) -> Profile:
     return Profile(df, sorted((w for w, n in df.items() if n >= least), key=lambda w: (-df[w], w)))
 
 
-def paths(kws: list[list[str]], themes: list[str]) -> list[list[str]]:
+def paths(kws: list[list[str]], themes: list[str]) -> list[list[int]]:
+    """Of each unit its themes, as their places in rank order."""
     rank = {w: i for i, w in enumerate(themes)}
-    return [sorted((w for w in own if w in rank), key=rank.__getitem__) for own in kws]
+    return [sorted([rank[w] for w in own if w in rank]) for own in kws]
 
 
 class Trie(NamedTuple):
-    """covers: of each path its nodes; of each node its weight, depth and (parent or -1, keyword)."""
+    """ids: node by parent (or -1) * wide + theme; covers: of each path its nodes; of each node its weight, parent and theme."""
 
+    wide: int
+    ids: dict[int, int]
     covers: list[list[int]]
     weights: list[float]
-    depths: list[int]
-    above: list[tuple[int, str]]
+    parents: list[int]
+    themes: list[int]
 
-    def prefix(self, node: int) -> list[str]:
+    def prefix(self, node: int) -> list[int]:
         out = []
         while node >= 0:
-            node, kw = self.above[node]
-            out.append(kw)
+            out.append(self.themes[node])
+            node = self.parents[node]
         return out
 
+    def node(self, prefix: Iterable[int]) -> int | None:
+        node = -1
+        for theme in prefix:
+            node = self.ids.get(node * self.wide + theme)
+            if node is None:
+                return None
+        return node
 
-def trie(path_rows: list[list[str]], df: Counter) -> Trie:
-    """``themes.nodes``: df over its largest, split by support; a keyword's supports add up to its df."""
-    ids, covers, support, depths, above = {}, [], [], [], []
+
+def trie(path_rows: list[list[int]]) -> Trie:
+    """``themes.nodes``: df over its largest, split by support; a theme's df is the number of paths that hold it."""
+    df = Counter(chain.from_iterable(path_rows))
+    wide, ids, covers, support, parents, kinds = max(df, default=0) + 1, {}, [], [], [], []
     for path in path_rows:
         node, at = -1, []
-        for kw in path:
-            key = (node, kw)
-            node = ids.get(key, -1)
-            if node < 0:
+        for theme in path:
+            key = node * wide + theme
+            if key in ids:
+                node = ids[key]
+                support[node] += 1
+            else:
+                parents.append(node)
+                kinds.append(theme)
                 node = ids[key] = len(support)
-                support.append(0)
-                depths.append(len(at) + 1)
-                above.append(key)
-            support[node] += 1
+                support.append(1)
             at.append(node)
         covers.append(at)
     top = max(df.values(), default=1)
-    return Trie(covers, [df[kw] / top * n / df[kw] for n, (_, kw) in zip(support, above, strict=True)], depths, above)
+    return Trie(wide, ids, covers, [df[t] / top * n / df[t] for n, t in zip(support, kinds, strict=True)], parents, kinds)
+
+
+class Forms:
+    """Which words have a form, stripped or stem, that is sought; remembers the words last met by their forms."""
+
+    def __init__(self):
+        self.seen, self.by_form = set(), {}
+
+    def hits(self, words: set[str], sought: set[str]) -> dict[str, set[str]]:
+        new = words - self.seen
+        if len(self.seen) + len(new) > MOST_HELD:
+            self.__init__()
+            new = words
+        for word in new:
+            bare = strip_word[word]
+            for form in {bare, soft_stem[bare]}:
+                self.by_form.setdefault(form, []).append(word)
+        self.seen |= new
+        found = {}
+        for form in sought:
+            for word in self.by_form.get(form, ()):
+                if word in words:
+                    found.setdefault(word, set()).add(form)
+        return found
+
+
+forms = Forms()
 
 
 def each(docs: DataFrame, columns: Iterable[str], rows: Callable[..., list[tuple]], ddl: str) -> DataFrame:
