@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from themeloom.functions import chat as C
 from themeloom.functions import forms
 from themeloom.functions import text as T
-from themeloom.operators import segment, select, themes
+from themeloom.operators import legacy_select, segment, select, themes
 from themeloom.plans import catalogue
 
 
@@ -113,3 +113,13 @@ def test_query_of_documents_equals_the_plan_over_units_without_its_shuffles(spar
     got = by_id(select.query_of_documents(rows))
     assert got == want and len(got) > 50 and any(r["n_terms_active"] for r in got.values())
     assert not hashed(catalogue.queries()["query_select"](spark, data))
+
+
+def test_legacy_of_documents_equals_the_plan_over_units_without_its_shuffles(spark, data):
+    docs = docs_of(spark, odd_texts(seed=5))
+    units, kws, df, found, _ = table_parts(docs)
+    for query in ("Where do the rivers of Ólafur cross the Old-Town?", "Who sold 42 mills", ""):
+        want = by_id(legacy_select.legacy_select(legacy_select.features(units, kws, df, found, query)))
+        got = by_id(legacy_select.legacy_of_documents(docs, query))
+        assert got == want and len(got) > 50 and any(r["n_query"] for r in got.values()) == bool(query)
+    assert not hashed(catalogue.queries()["legacy_select"](spark, data))

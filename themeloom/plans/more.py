@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chat as C
 from ..functions import text as T
 from ..functions import when
-from ..operators import code, fewshot, legacy_select, metrics, pages, segment, themes
+from ..operators import code, fewshot, legacy_select, metrics, pages, segment
 from ..sources import files
 from ..streaming import session as streaming
 from . import rules
@@ -59,10 +59,7 @@ def _pairs(s, d):
 
 
 def legacy(s, d):
-    units = segment.filtered(segment.sentences(_docs(s, d)))
-    kws = segment.keywords(units)
-    df = themes.keyword_df(kws)
-    return legacy_select.legacy_select(legacy_select.features(units, kws, df, themes.themes(df), QUERY))
+    return legacy_select.legacy_of_documents(_docs(s, d), QUERY)
 
 
 def time_windows(s, d):
