@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from themeloom.functions import chat as C
 from themeloom.functions import forms
 from themeloom.functions import text as T
-from themeloom.operators import legacy_select, segment, select, themes
+from themeloom.operators import fewshot, legacy_select, segment, select, themes
 from themeloom.plans import catalogue
 
 
@@ -123,3 +123,23 @@ def test_legacy_of_documents_equals_the_plan_over_units_without_its_shuffles(spa
         got = by_id(legacy_select.legacy_of_documents(docs, query))
         assert got == want and len(got) > 50 and any(r["n_query"] for r in got.values()) == bool(query)
     assert not hashed(catalogue.queries()["legacy_select"](spark, data))
+
+
+def test_retrieved_equals_the_plan_over_paragraphs_without_its_shuffles(spark, data):
+    r = random.Random(6)
+    numbered = lambda t: None if t is None else "\n".join(r.choice(["Paragraph {}: ", "  paragraph 0{}:", "", " \t"]).format(i) + x + r.choice(["", "\r", " \r", " "]) for i, x in enumerate((t.split("\n") + ["The river crosses the old town and the hall. " * 3] * 4) * 3))
+    docs = docs_of(spark, [*map(numbered, odd_texts(seed=7)), "no such unit", "Paragraph 1: a\rb\nParagraph 2: c d"])
+    asked = docs.filter("doc_id % 4 > 0").select("doc_id", F.lit("Which rivers crossed the towns of Ólafur?").alias("question"))
+    signed = fewshot.signatures(fewshot.paragraphs(docs), 0.9)
+    rows = signed.select("doc_id", F.col("unit").alias("pos"), F.col("whole").alias("unit"), F.col("cost").alias("n_words"), "budget", "body")
+    kws = rows.select("doc_id", "pos", F.explode(T.content_words(F.col("body"))).alias("kw"))
+    found = themes.themes(themes.keyword_df(kws), 0.75)
+    paths = themes.paths(kws, found)
+    terms = asked.select("doc_id", C.query_keywords(F.col("question")).alias("terms")).select("doc_id", "terms", F.transform("terms", T.soft_stem).alias("stems"), F.lit(None).cast("map<string,double>").alias("seeds"))
+    spoken = C.with_stems(F.filter(F.transform(F.split(F.lower("unit"), C.SPACE), T.strip_word), lambda w: w != ""))
+    units = rows.withColumn("words", spoken).withColumn("near", F.lit(None).cast("double")).drop("body")
+    took = select.query_select(units, paths, themes.nodes(paths, found), terms).select("doc_id", F.explode("took").alias("unit"))
+    want = by_id(fewshot.shown(signed, took))
+    got = by_id(fewshot.retrieve(docs, asked, 0.9))
+    assert got == want and len(got) > 50 and any(0 < r["n_full_units"] < r["n_units"] for r in got.values())
+    assert not hashed(catalogue.queries()["retrieved_units"](spark, data))

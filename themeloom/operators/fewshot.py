@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import whole
 
 # Name, what opens a block, what labels it, least pairs; tried in this order.
 PATTERNS = (("question_type", "Question:", "Type:", 5), ("dialogue_summary", "Dialogue:", "Summary:", 3), ("numbered_paragraphs", "Paragraph ", "Paragraph ", 10), ("passage_qa", "Passage:", "Answer:", 3))
@@ -122,22 +125,59 @@ def shown(signed: DataFrame, chosen: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.count("_whole").alias("n_full_units"), F.sum(spent).alias("words_used"), F.array_join(F.transform(held, lambda x: x["text"]), "\n\n").alias("context"))
 
 
+HEADING = re.compile(whole.java(r"^\s*Paragraph\s+(\d+):\s*(.*)") + r"(?=(?:\r\n|[\r\x85\u2028\u2029])?\Z)", re.IGNORECASE | re.ASCII)
+
+
+def paragraphs_of(text: str | None) -> list[tuple[int, str]]:
+    """label and body of the units of ``paragraphs``."""
+    units: list[tuple[int, list[str]]] = []
+    for line in (text or "").split("\n"):
+        if not (bare := line.strip(" ")):
+            continue
+        if head := HEADING.match(line):
+            units.append((int(head[1]), [head[2].strip(" ")]))
+        elif units:
+            units[-1][1].append(bare)
+    return [(label, " ".join(parts)) for label, parts in units]
+
+
+RETRIEVED = "doc_id long, n_units long, n_full_units long, words_used long, context string"
+
+
+def retrieved(docs: DataFrame, share: float = 0.2, sig_words: int = 12, percentile: float = 0.75) -> DataFrame:
+    """``retrieve`` of documents that have their terms and stems (null without a question) beside them: read whole, one pass, no shuffle."""
+    from . import select
+
+    def one(doc_id, text, terms, stems):
+        units = paragraphs_of(text)
+        if not units:
+            return []
+        words = [whole.words_of(body) for _, body in units]
+        wholes = [f"Paragraph {label}: {body}" for label, body in units]
+        sig_costs = [min(len(w), sig_words) + 2 for w in words]
+        costs = [max(1, len(w) + 2 - c) for w, c in zip(words, sig_costs, strict=True)]
+        budget = max(0, math.floor(sum(map(len, words)) * share) - sum(sig_costs))
+        took = set()
+        if budget:  # no unit costs less than a word
+            kws = [whole.content_words(whole.words_of(body.lower())) for _, body in units]
+            found = whole.profile(kws, percentile).themes
+            asked = select.Asked(terms or [], stems or [], None)
+            low = [whole.words_of(t.lower()) for t in wholes] if asked.terms else [[]] * len(units)
+            made = whole.trie(whole.paths(kws, found))
+            took = set(select.chosen(costs, budget, made.covers, made.weights, [0.0] * len(made.weights), select.held_terms(low, asked), asked)[0].rows)
+        texts = [wholes[i] if i in took else f"Paragraph {units[i][0]}: {' '.join(w[:sig_words])}{' ...' if len(w) > sig_words else ''}" for i, w in enumerate(words)]
+        return [(doc_id, len(units), len(took), sum(sig_costs) + sum(costs[i] for i in took), "\n\n".join(texts))]
+
+    return whole.each(docs, ["doc_id", "text", "terms", "stems"], one, RETRIEVED)
+
+
 def retrieve(docs: DataFrame, questions: DataFrame, share: float = 0.2, sig_words: int = 12, percentile: float = 0.75) -> DataFrame:
-    """Documents of enumerated paragraphs for a question (doc_id, question, near by unit or null): the selector buys whole units, all others stay as signatures.
+    """Documents of enumerated paragraphs for a question (doc_id, question): the selector buys whole units, all others stay as signatures.
 
     Documents without such units give no row; those without a question belong to ``count_prefixes``.
     """
     from ..functions import chat as C
-    from . import select, themes
 
-    signed = signatures(paragraphs(docs), share, sig_words)
-    rows = signed.select("doc_id", F.col("unit").alias("pos"), F.col("whole").alias("unit"), F.col("cost").alias("n_words"), "budget", "body")
-    kws = rows.select("doc_id", "pos", F.explode(T.content_words(F.col("body"))).alias("kw"))
-    found = themes.themes(themes.keyword_df(kws), percentile)
-    path_rows = themes.paths(kws, found)
     asked = questions.select("doc_id", C.query_keywords(F.col("question")).alias("terms"))
-    asked = asked.select("doc_id", "terms", F.transform("terms", T.soft_stem).alias("stems"), F.lit(None).cast("map<string,double>").alias("seeds"))
-    spoken = C.with_stems(F.filter(F.transform(F.split(F.lower("unit"), C.SPACE), T.strip_word), lambda w: w != ""))
-    units = rows.withColumn("words", spoken).withColumn("near", F.lit(None).cast("double")).drop("body")
-    took = select.query_select(units, path_rows, themes.nodes(path_rows, found), asked)
-    return shown(signed, took.select("doc_id", F.explode("took").alias("unit")))
+    asked = asked.select("doc_id", "terms", F.transform("terms", T.soft_stem).alias("stems"))
+    return retrieved(docs.select("doc_id", "text").join(asked, "doc_id", "left"), share, sig_words, percentile)

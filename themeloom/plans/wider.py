@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, decide, fewshot, filters, segment, windows
+from ..operators import code, decide, fewshot, filters, segment, whole, windows
 from ..sources import files
 from . import oracle
-from .further import SHORT, TEXT, read, wiki_sql, words
+from .further import SHORT, TEXT, asked_passages, read, wiki_sql, words
 
 PLANTED = {
     3: "unit || ' See https://a.example/b, too.'",
@@ -84,11 +84,9 @@ SHOWN = f"""WITH {SIGNED} SELECT doc_id, count(*) AS n_units, count_if(unit % 3
 
 
 def retrieved_units(s, d):
-    """Every document asked the words of one benchmark passage."""
-    items = read(s, d, "benchmark").select(F.row_number().over(files.Window.orderBy("item_id")).alias("at"), F.col("text").alias("question"))
-    n = items.count()
-    asked = read(s, d, "documents").select("doc_id", (F.pmod("doc_id", F.lit(max(n, 1))) + 1).alias("at")).join(items, "at").select("doc_id", "question")
-    return fewshot.retrieve(_paragraphs(s, d), asked)
+    """Every document, as numbered paragraphs, asked the words of one benchmark passage."""
+    numbered = lambda doc_id, text: [(doc_id, "\n\n".join(f"Paragraph {i}: {x}" for i, x in enumerate(whole.sentence_parts(text or ""), 1)))]
+    return fewshot.retrieved(asked_passages(s, d, whole.each(read(s, d, "documents"), ["doc_id", "text"], numbered, "doc_id long, text string")))
 
 
 def attention(s, d):
