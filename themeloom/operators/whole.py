@@ -22,7 +22,7 @@ from ..functions import text as T
 from . import segment
 
 #: Documents of one Arrow batch, and words or stems that a worker remembers.
-BATCH_DOCS, MOST_HELD = 500, 200_000
+BATCH_DOCS, MOST_HELD = 200, 50_000
 BLANKS = " \t\r\n"
 
 
@@ -221,31 +221,15 @@ def trie(path_rows: list[list[int]]) -> Trie:
     return Trie(wide, ids, covers, [df[t] / top * n / df[t] for n, t in zip(support, kinds, strict=True)], parents, kinds)
 
 
-class Forms:
-    """Which words have a form, stripped or stem, that is sought; remembers the words last met by their forms."""
-
-    def __init__(self):
-        self.seen, self.by_form = set(), {}
-
-    def hits(self, words: set[str], sought: set[str]) -> dict[str, set[str]]:
-        new = words - self.seen
-        if len(self.seen) + len(new) > MOST_HELD:
-            self.__init__()
-            new = words
-        for word in new:
-            bare = strip_word[word]
-            for form in {bare, soft_stem[bare]}:
-                self.by_form.setdefault(form, []).append(word)
-        self.seen |= new
-        found = {}
-        for form in sought:
-            for word in self.by_form.get(form, ()):
-                if word in words:
+def hits(words: set[str], sought: set[str]) -> dict[str, set[str]]:
+    """Of lower-case words those with a form, stripped or stem, that is sought, and these forms. A form stands in its word."""
+    text, found = "\n".join(words), {}
+    for form in sought:
+        if form in text:
+            for word in words:
+                if form in word and (form == strip_word[word] or form == soft_stem[strip_word[word]]):
                     found.setdefault(word, set()).add(form)
-        return found
-
-
-forms = Forms()
+    return found
 
 
 def each(docs: DataFrame, columns: Iterable[str], rows: Callable[..., list[tuple]], ddl: str) -> DataFrame:
