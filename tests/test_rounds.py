@@ -12,7 +12,7 @@ from themeloom.functions import chat as C
 from themeloom.functions import forms
 from themeloom.functions import text as T
 from themeloom.operators import fewshot, legacy_select, segment, select, themes
-from themeloom.plans import catalogue
+from themeloom.plans import catalogue, further, wider
 
 
 def both(spark, folder, name):
@@ -143,3 +143,32 @@ def test_retrieved_equals_the_plan_over_paragraphs_without_its_shuffles(spark, d
     got = by_id(fewshot.retrieve(docs, asked, 0.9))
     assert got == want and len(got) > 50 and any(0 < r["n_full_units"] < r["n_units"] for r in got.values())
     assert not hashed(catalogue.queries()["retrieved_units"](spark, data))
+
+
+def test_retrieved_units_chooses_in_every_document_as_the_plan_over_paragraphs_does(spark, data):
+    got = by_id(catalogue.queries()["retrieved_units"](spark, data))
+    several = [r for r in got.values() if r["n_units"] > 3]
+    assert len(several) > 100 and all(0 < r["n_full_units"] < r["n_units"] for r in several)
+    signed = fewshot.signatures(fewshot.paragraphs(wider._paragraphs(spark, data)), sig_words=2, rest=0.5)
+    rows = signed.select("doc_id", F.col("unit").alias("pos"), F.col("whole").alias("unit"), F.col("cost").alias("n_words"), "budget", "body")
+    kws = rows.select("doc_id", "pos", F.explode(T.content_words(F.col("body"))).alias("kw"))
+    found = themes.themes(themes.keyword_df(kws), 0.75)
+    paths = themes.paths(kws, found)
+    asked = further.asked_passages(spark, data, further.read(spark, data, "documents").select("doc_id")).withColumn("seeds", F.lit(None).cast("map<string,double>"))
+    spoken = C.with_stems(F.filter(F.transform(F.split(F.lower("unit"), C.SPACE), T.strip_word), lambda w: w != ""))
+    units = rows.withColumn("words", spoken).withColumn("near", F.lit(None).cast("double")).drop("body")
+    took = select.query_select(units, paths, themes.nodes(paths, found), asked).select("doc_id", F.explode("took").alias("unit"))
+    assert got == by_id(fewshot.shown(signed, took))
+
+
+def test_alike_rows_are_taken_one_by_one():
+    r = random.Random(8)
+    for _ in range(300):
+        n, m = r.randint(1, 14), r.randint(1, 3)
+        kinds = [(r.randint(1, 3), r.sample(range(m), r.randint(0, m))) for _ in range(3)]
+        costs, covers = map(list, zip(*(r.choice(kinds) for _ in range(n)), strict=True))
+        weights, starts, budget = [r.choice([0.5, 1.0, 2.0]) for _ in range(m)], [0.0] * m, r.randint(0, 12)
+        by_row = [[(v, 1.0) for v in own] for own in covers]
+        got = select.best_rows(costs, by_row, weights, starts, budget)
+        apart = select.best_rows([*costs], [[*own, (m + i, 1.0)] for i, own in enumerate(by_row)], [*weights, *[0.0] * n], [*starts, *[0.0] * n], budget)
+        assert got == apart and got.rows == select.greedy(costs, covers, weights, budget)

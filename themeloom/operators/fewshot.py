@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -100,11 +101,12 @@ def _paragraph(label: Column, body: Column) -> Column:
     return F.concat(F.lit("Paragraph "), label.cast("string"), F.lit(": "), body)
 
 
-def signatures(units: DataFrame, share: float = 0.2, sig_words: int = 12) -> DataFrame:
+def signatures(units: DataFrame, share: float = 0.2, sig_words: int = 12, rest: float | None = None) -> DataFrame:
     """Units of ``paragraphs`` as what retrieval chooses from: each is shown by its first words at least, and can be bought whole.
 
     Adds signature, whole, sig_cost, cost (words that the whole unit takes beyond its signature, one at
-    least) and budget (share of the document's words that is left when all signatures are shown).
+    least) and budget (share of the document's words that is left when all signatures are shown; or rest
+    of what all units cost, where rest is given).
     """
     doc = Window.partitionBy("doc_id")
     words = F.filter(F.split("body", r"[ \t\r\n]+"), lambda w: w != "")
@@ -112,7 +114,7 @@ def signatures(units: DataFrame, share: float = 0.2, sig_words: int = 12) -> Dat
     out = units.withColumn("sig_cost", F.least(F.size(words), F.lit(sig_words)) + 2)
     out = out.withColumn("signature", _paragraph(F.col("label"), F.concat(head, F.when(F.size(words) > sig_words, " ...").otherwise(""))))
     out = out.withColumn("whole", _paragraph(F.col("label"), F.col("body"))).withColumn("cost", F.greatest(F.lit(1), F.col("n_words") + 2 - F.col("sig_cost")))
-    left = F.floor(F.sum("n_words").over(doc) * F.lit(share)) - F.sum("sig_cost").over(doc)
+    left = F.floor(F.sum("n_words").over(doc) * F.lit(share)) - F.sum("sig_cost").over(doc) if rest is None else F.floor(F.sum("cost").over(doc) * F.lit(rest))
     return out.withColumn("budget", F.greatest(F.lit(0), left).cast("long"))
 
 
@@ -144,28 +146,37 @@ def paragraphs_of(text: str | None) -> list[tuple[int, str]]:
 RETRIEVED = "doc_id long, n_units long, n_full_units long, words_used long, context string"
 
 
-def retrieved(docs: DataFrame, share: float = 0.2, sig_words: int = 12, percentile: float = 0.75) -> DataFrame:
-    """``retrieve`` of documents that have their terms and stems (null without a question) beside them: read whole, one pass, no shuffle."""
+def retrieved(docs: DataFrame, share: float = 0.2, sig_words: int = 12, percentile: float = 0.75, rest: float | None = None, numbered: Callable[[str | None], str] | None = None) -> DataFrame:
+    """``retrieve`` of documents that have their terms and stems (null without a question) beside them: read whole, one pass, no shuffle.
+
+    Signatures of short units can cost more than share of a document's words, which leaves nothing to
+    choose; rest, if given, stands for share: that part of what all units cost beyond their signatures.
+    numbered, if given, makes the enumerated paragraphs of a text first.
+    """
     from . import select
 
     def one(doc_id, text, terms, stems):
-        units = paragraphs_of(text)
+        units = paragraphs_of(text if numbered is None else numbered(text))
         if not units:
             return []
-        words = [whole.words_of(body) for _, body in units]
-        wholes = [f"Paragraph {label}: {body}" for label, body in units]
-        sig_costs = [min(len(w), sig_words) + 2 for w in words]
-        costs = [max(1, len(w) + 2 - c) for w, c in zip(words, sig_costs, strict=True)]
-        budget = max(0, math.floor(sum(map(len, words)) * share) - sum(sig_costs))
+        low = [whole.words_of(body.lower()) for _, body in units]
+        n_words = [len(own) for own in low]
+        sig_costs = [min(n, sig_words) + 2 for n in n_words]
+        costs = [max(1, n + 2 - c) for n, c in zip(n_words, sig_costs, strict=True)]
+        budget = max(0, math.floor(sum(n_words) * share) - sum(sig_costs)) if rest is None else math.floor(sum(costs) * rest)
         took = set()
         if budget:  # no unit costs less than a word
-            kws = [whole.content_words(whole.words_of(body.lower())) for _, body in units]
+            kws = [whole.content_words(own) for own in low]
             found = whole.profile(kws, percentile).themes
             asked = select.Asked(terms or [], stems or [], None)
-            low = [whole.words_of(t.lower()) for t in wholes] if asked.terms else [[]] * len(units)
+            spoken = [["paragraph", f"{label}:", *own] for (label, _), own in zip(units, low, strict=True)] if asked.terms else [[]] * len(units)
             made = whole.trie(whole.paths(kws, found))
-            took = set(select.chosen(costs, budget, made.covers, made.weights, [0.0] * len(made.weights), select.held_terms(low, asked), asked)[0].rows)
-        texts = [wholes[i] if i in took else f"Paragraph {units[i][0]}: {' '.join(w[:sig_words])}{' ...' if len(w) > sig_words else ''}" for i, w in enumerate(words)]
+            took = set(select.chosen(costs, budget, made.covers, made.weights, [0.0] * len(made.weights), select.held_terms(spoken, asked), asked)[0].rows)
+        texts = []
+        for i, (label, body) in enumerate(units):
+            if i not in took:
+                body = " ".join(whole.words_of(body)[:sig_words]) + (" ..." if n_words[i] > sig_words else "")
+            texts.append(f"Paragraph {label}: {body}")
         return [(doc_id, len(units), len(took), sum(sig_costs) + sum(costs[i] for i in took), "\n\n".join(texts))]
 
     return whole.each(docs, ["doc_id", "text", "terms", "stems"], one, RETRIEVED)

@@ -101,10 +101,9 @@ strip_word, content_word, soft_stem = _Held(_strip_word), _Held(_content_word),
 
 
 def content_words(low_words: list[str]) -> list[str]:
-    """Distinct content words of a unit's lower-case words, in order."""
-    found = dict.fromkeys(map(content_word.__getitem__, low_words))
-    found.pop("", None)
-    return list(found)
+    """Distinct content words of a unit's lower-case words, in order. Nothing is stripped of a word of letters alone."""
+    found = dict.fromkeys([w if w.isalpha() else content_word[w] for w in low_words])
+    return [w for w in found if len(w) > 2 and w != "the"]
 
 
 def wiki_clean(text: str) -> str:
@@ -164,13 +163,13 @@ def profile(kws: list[list[str]], percentile: float) -> Profile:
     if not df:
         return Profile(df, [])
     least = sorted(df.values())[min(int(len(df) * percentile), len(df) - 1)]
-    return Profile(df, sorted((w for w, n in df.items() if n >= least), key=lambda w: (-df[w], w)))
+    return Profile(df, sorted(sorted(w for w, n in df.items() if n >= least), key=df.__getitem__, reverse=True))
 
 
 def paths(kws: list[list[str]], themes: list[str]) -> list[list[int]]:
     """Of each unit its themes, as their places in rank order."""
     rank = {w: i for i, w in enumerate(themes)}
-    return [sorted([rank[w] for w in own if w in rank]) for own in kws]
+    return [sorted(map(rank.__getitem__, filter(rank.__contains__, own))) for own in kws]
 
 
 class Trie(NamedTuple):
@@ -206,29 +205,33 @@ def trie(path_rows: list[list[int]]) -> Trie:
     for path in path_rows:
         node, at = -1, []
         for theme in path:
-            key = node * wide + theme
-            if key in ids:
-                node = ids[key]
-                support[node] += 1
-            else:
-                parents.append(node)
-                kinds.append(theme)
-                node = ids[key] = len(support)
-                support.append(1)
-            at.append(node)
+            if (child := ids.get(node * wide + theme)) is None:
+                break
+            support[child] += 1
+            at.append(child)
+            node = child
+        if fresh := path[len(at) :]:  # nothing lies below a new node
+            first = len(support)
+            made = range(first, first + len(fresh))
+            above = [node, *made[:-1]]
+            ids.update(zip([n * wide + theme for n, theme in zip(above, fresh, strict=True)], made, strict=True))
+            support += [1] * len(fresh)
+            parents += above
+            kinds += fresh
+            at += made
         covers.append(at)
     top = max(df.values(), default=1)
-    return Trie(wide, ids, covers, [df[t] / top * n / df[t] for n, t in zip(support, kinds, strict=True)], parents, kinds)
+    part = {t: n / top for t, n in df.items()}
+    return Trie(wide, ids, covers, [part[t] * n / df[t] for n, t in zip(support, kinds, strict=True)], parents, kinds)
 
 
 def hits(words: set[str], sought: set[str]) -> dict[str, set[str]]:
-    """Of lower-case words those with a form, stripped or stem, that is sought, and these forms. A form stands in its word."""
-    text, found = "\n".join(words), {}
-    for form in sought:
-        if form in text:
-            for word in words:
-                if form in word and (form == strip_word[word] or form == soft_stem[strip_word[word]]):
-                    found.setdefault(word, set()).add(form)
+    """Of lower-case words those with a form, stripped or stem, that is sought, and these forms. A form begins the stripped word."""
+    begun, found = {form[:3] for form in sought}, {}  # no stem is cut to less than three letters
+    for word in words:
+        bare = word if word.isalpha() else strip_word[word]
+        if bare[:3] in begun and (own := sought & {bare, soft_stem[bare]}):
+            found[word] = own
     return found
 
 

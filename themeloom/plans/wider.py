@@ -83,10 +83,14 @@ SHOWN = f"""WITH {SIGNED} SELECT doc_id, count(*) AS n_units, count_if(unit % 3
  md5(string_agg(CASE WHEN unit % 3 = 0 THEN 'Paragraph ' || (unit + 1) || ': ' || body ELSE signature END, chr(10) || chr(10) ORDER BY unit)) AS hash FROM signed GROUP BY doc_id"""
 
 
+# Words shown of each sentence, and the part of what all sentences have beyond them that is bought.
+SENTENCE_HEAD, BOUGHT = 2, 0.5
+
+
 def retrieved_units(s, d):
-    """Every document, as numbered paragraphs, asked the words of one benchmark passage."""
-    numbered = lambda doc_id, text: [(doc_id, "\n\n".join(f"Paragraph {i}: {x}" for i, x in enumerate(whole.sentence_parts(text or ""), 1)))]
-    return fewshot.retrieved(asked_passages(s, d, whole.each(read(s, d, "documents"), ["doc_id", "text"], numbered, "doc_id long, text string")))
+    """Every document, as numbered paragraphs, asked the words of one benchmark passage; half of what signatures leave out is bought."""
+    numbered = lambda text: "\n\n".join(f"Paragraph {i}: {x}" for i, x in enumerate(whole.sentence_parts(text or ""), 1))
+    return fewshot.retrieved(asked_passages(s, d, read(s, d, "documents")), sig_words=SENTENCE_HEAD, rest=BOUGHT, numbered=numbered)
 
 
 def attention(s, d):
