@@ -205,20 +205,16 @@ def trie(path_rows: list[list[int]]) -> Trie:
     for path in path_rows:
         node, at = -1, []
         for theme in path:
-            if (child := ids.get(node * wide + theme)) is None:
-                break
-            support[child] += 1
-            at.append(child)
-            node = child
-        if fresh := path[len(at) :]:  # nothing lies below a new node
-            first = len(support)
-            made = range(first, first + len(fresh))
-            above = [node, *made[:-1]]
-            ids.update(zip([n * wide + theme for n, theme in zip(above, fresh, strict=True)], made, strict=True))
-            support += [1] * len(fresh)
-            parents += above
-            kinds += fresh
-            at += made
+            key = node * wide + theme
+            if key in ids:
+                node = ids[key]
+                support[node] += 1
+            else:
+                parents.append(node)
+                kinds.append(theme)
+                node = ids[key] = len(support)
+                support.append(1)
+            at.append(node)
         covers.append(at)
     top = max(df.values(), default=1)
     part = {t: n / top for t, n in df.items()}
